@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmesa.llm import exact_dedup, language_id
+from gridmesa.llm import exact_dedup, language_id, simhash
 from gridmesa.llm.common import fold
 
 
@@ -20,12 +20,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_language_id": op4_language_id,
+    "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
