@@ -16,6 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: u > v. Large-star sees each edge from both ends and moves larger neighbours to the minimum; small-star moves smaller ones."""
     seen = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    # Written, so that the join deals both sides itself and can split a hub's partition.
+    least = written(least, "least")
     joined = seen.join(least, "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

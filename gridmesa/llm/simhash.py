@@ -84,7 +84,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     # Of two members both differ in just the bits that vary, so buckets of two farther apart than the radius end here.
     varying = F.col("ors").bitwiseXOR(F.col("ands"))
     buckets = buckets.withColumn("varying", varying).where((F.col("n") > 2) | (F.bit_count("varying") <= radius)).drop("ors", "ands")
-    members = tables.join(buckets, ["t", "key"])
+    # Written, so that the join deals both sides itself and can split a hot bucket's partition.
+    members = tables.join(written(buckets, "buckets"), ["t", "key"])
     small = members.where(F.col("n") <= SMALL_BUCKET).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     close = lambda x: F.filter("all", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= radius))
     pairs = small.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(close(x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
