@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmesa.llm import exact_dedup, language_id, packing, simhash, token_counts
+from gridmesa.llm import exact_dedup, language_id, packing, quality, simhash, token_counts, toxicity
 from gridmesa.llm.common import fold
 
 
@@ -14,6 +14,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that have labels and are not held out."""
+    return docs.select("doc_id", "text").join(labels, "doc_id").where(fold(5) != 0)
+
+
+def _scored(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(_labelled(docs, _table(spark, sf_dir, "labels")))
+    return _scored(toxicity.score(docs, model), 0.5)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(_labelled(docs, _table(spark, sf_dir, "labels")))
+    return _scored(quality.score(docs, model), 0.3)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +59,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
