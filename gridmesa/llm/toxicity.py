@@ -36,18 +36,23 @@ SAMPLE_ROWS, LANDMARKS = 8_000, 48
 #: Of each document the most promising sentences are candidates in training.
 SENTENCES = 6
 DECAY, MAX_SPAN = 0.7, 6
+#: Kernels of under so much of a landmark's own count as none.
+FLOOR = 0.4
+#: Landmarks exceed their expected share by at least so many standard errors.
+LEAST_LIFT = 4.5
 PIECE = 1 << 19
 _SPACINGS = [(j, k) for k in range(2, MAX_SPAN) for j in range(1, k)]
 _SYMBOLS = 63
 
 
 def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case code points without white space; each one's unit (a word, or a run of single letters), each unit's sentence, each sentence's text."""
-    points = np.frombuffer("\n".join([*[t.lower() for t in texts], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t.lower()) + 1 for t in texts])
+    """Lower-case code points, of white space just one before each unit (a word, or a run of single letters); each one's unit, each unit's sentence, each sentence's text."""
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer("".join([f"\n{t}" for t in lowered]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    lengths = np.array([len(t) + 1 for t in lowered])
     owner = np.repeat(np.arange(len(texts)), lengths)
     space = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0xA0)
-    ends = np.isin(points, np.array([33, 46, 63], np.uint32)) & np.append(space[1:], True)
+    ends = ((points == 33) | (points == 46) | (points == 63)) & np.append(space[1:], True)
     breaks = ends | (points == 10)
     sentence = np.concatenate([[0], np.cumsum(breaks)[:-1]])
     starts = ~space & np.concatenate([[True], space[:-1]])
@@ -61,10 +66,17 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     first = at[~joined]
     kept, place = np.unique(sentence[first], return_inverse=True)
     head = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    return points[~space], unit_of_word[word[~space]], place, owner[first[head]]
+    mark = first - 1
+    points[mark] = 32
+    kept_points = ~space
+    kept_points[mark] = True
+    word[mark] = word[first]
+    return points[kept_points], unit_of_word[word[kept_points]], place, owner[first[head]]
 
 
 def _triples(word: str) -> dict[tuple[str, str, str], float]:
+    """Weights of the subsequences of a word, its beginning marked by a space."""
+    word = f" {word}"
     out: dict[tuple[str, str, str], float] = {}
     for j, k in _SPACINGS:
         for i in range(len(word) - k):
@@ -81,6 +93,7 @@ class Kernel:
     symbols: np.ndarray = field(init=False)
     table: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
+    largest: np.ndarray = field(init=False)
     gram: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -98,21 +111,31 @@ class Kernel:
             a, b, c = (code[x] for x in u)
             self.table[(a << 12) | (b << 6) | c] = n
             self.weights[n] = [t.get(u, 0.0) / s for t, s in zip(own, scale, strict=True)]
+        self.largest = self.weights.max(1, initial=0.0)
         self.gram = np.array([[sum(v * t.get(u, 0.0) for u, v in s.items()) / (p * q) ** 0.5 for t, q in zip(own, scale, strict=True)] for s, p in zip(own, scale, strict=True)])
 
     def units(self, points: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
-        """units x landmarks."""
+        """units x landmarks; kernels below FLOOR are 0. A first pass sums each subsequence's largest weight, a bound above every kernel of the unit; only units whose bound reaches FLOOR get vectors."""
         out = np.zeros((n, len(self.landmarks)), np.float32)
         ids = self.symbols[points].astype(np.int32)
+        hits, bound = [], np.zeros(n)
         for j, k in _SPACINGS:
             if len(ids) <= k:
                 break
             found = self.table[(ids[:-k] << 12) | (ids[j : j - k] << 6) | ids[k:]]
-            at = np.flatnonzero((found >= 0) & (unit[:-k] == unit[k:]))
+            at = np.flatnonzero(found >= 0)
+            at = at[unit[at] == unit[at + k]]
+            found, owner = found[at], unit[at]
+            bound += np.bincount(owner, self.largest[found], n) * DECAY ** (k + 1)
+            hits.append((found, owner, np.float32(DECAY ** (k + 1))))
+        able = bound >= FLOOR
+        for found, owner, weight in hits:
+            at = np.flatnonzero(able[owner])
             if len(at):
-                owner = unit[at]
+                owner = owner[at]
                 head = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-                out[owner[head]] += np.add.reduceat(self.weights[found[at]], head, axis=0) * np.float32(DECAY ** (k + 1))
+                out[owner[head]] += np.add.reduceat(self.weights[found[at]], head, axis=0) * weight
+        out[out < FLOOR] = 0
         return out
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +179,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -40, 40)))
 
 
-def choose_landmarks(labelled: DataFrame, text: str, label: str, count: int) -> list[str]:
-    """The words whose document share among toxic rows most exceeds that among the others, in standard errors."""
-    words = F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[\s\p{Punct}]+"))
-    counted = labelled.select(F.explode(words).alias("w"), F.col(label).alias("y")).where(F.length("w").between(4, 24)).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+def choose_landmarks(labelled: DataFrame, text: str, label: str, count: int, candidates: int = 3000, alike: float = 0.6) -> list[str]:
+    """Words and beginnings of words whose document share among toxic rows most exceeds that among the others, in standard errors; of those alike by the kernel, the best."""
+    word = F.explode(F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[\s\p{Punct}]+"))).alias("w")
+    words = labelled.select(F.monotonically_increasing_id().alias("d"), F.col(label).alias("y"), word).where(F.length("w").between(4, 24))
+    stems = F.array_union(F.array("w"), F.transform(F.sequence(F.lit(4), F.least(F.length("w"), F.lit(9))), lambda n: F.col("w").substr(F.lit(1), n)))
+    counted = words.select("d", "y", F.explode(stems).alias("w")).distinct().groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
     toxic, total = labelled.agg(F.sum(label), F.count("*")).head()
     share = F.lit(float(toxic) / total)
     lift = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
-    return [r.w for r in counted.orderBy(lift.desc(), "w").limit(count).collect()]
+    best = [r.w for r in counted.where(lift >= LEAST_LIFT).orderBy(lift.desc(), F.length("w").desc(), "w").limit(candidates).collect()]
+    chosen: list[tuple[str, dict, float]] = []
+    for w in best:
+        own = _triples(w)
+        size = sum(v * v for v in own.values())
+        if all(sum(v * t.get(u, 0.0) for u, v in own.items()) < alike * (size * z) ** 0.5 for _, t, z in chosen):
+            chosen.append((w, own, size))
+            if len(chosen) == count:
+                break
+    return [w for w, _, _ in chosen]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
