@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmesa.llm import exact_dedup, language_id, packing, quality, simhash, token_counts, toxicity
+from gridmesa.llm import ann, exact_dedup, language_id, packing, quality, simhash, token_counts, toxicity
 from gridmesa.llm.common import fold
 
 
@@ -46,6 +46,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
+    "op5_ann": op5_ann,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
