@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmesa.llm import ann, exact_dedup, language_id, packing, quality, simhash, token_counts, toxicity
+from gridmesa.llm import ann, exact_dedup, language_id, packing, quality, simhash, substring_dedup, token_counts, toxicity
 from gridmesa.llm.common import fold
 
 
@@ -62,6 +62,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_quality": op3_quality,
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
