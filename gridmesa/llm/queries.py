@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmesa.llm import ann, exact_dedup, language_id, packing, quality, simhash, substring_dedup, token_counts, toxicity
+from gridmesa.llm import ann, byte_bpe, exact_dedup, language_id, packing, quality, simhash, substring_dedup, token_counts, toxicity
 from gridmesa.llm.common import fold
 
 
@@ -58,6 +58,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded, codec = byte_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    sha = lambda x: F.sha2(x, 256)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(byte_bpe.little_endian(F.col("ids"))).alias("ids_sha256"), sha(byte_bpe.decode(F.col("ids"), codec)).alias("decoded_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op5_ann": op5_ann,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
