@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from gridmesa.llm.common import bounded_sample, text_or_empty, written
 
 #: The literal of folded words holds at most so many, of at most MAX_WORD characters each, from about SAMPLE_ROWS texts.
-WORDS, MAX_WORD, SAMPLE_ROWS = 1 << 17, 32, 20_000
-RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
+WORDS, MAX_WORD, SAMPLE_ROWS = 1 << 18, 32, 20_000
+RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 17
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -55,6 +55,11 @@ def _literal(row: DataFrame) -> Column:
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, row._jdf.schema().apply(0).dataType())))
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value), with value computed once: lambdas have no common subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class Codec:
     """Literals for one vocabulary, each of a size that the vocabulary or WORDS and MAX_WORD bound."""
 
@@ -74,23 +79,24 @@ class Codec:
 
     def fold(self, word: Column) -> Column:
         """Ids of a word: its bytes, as two hex digits each, merged pair by pair in the order of rank."""
-        digits = F.hex(F.encode(word, "utf-8"))
         n = F.octet_length(word)
-        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
+        parts = _bind(F.hex(F.encode(word, "utf-8")), lambda digits: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2))))
         rank_of = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(F.concat(F.get(p, i - 1), F.get(p, i))))
-        start = F.struct(parts.alias("p"), F.when(n > 1, rank_of(parts)).otherwise(F.array().cast("array<int>")).alias("r"))
+        start = _bind(parts, lambda p: F.struct(p.alias("p"), F.when(n > 1, rank_of(p)).otherwise(F.array().cast("array<int>")).alias("r")))
+
+        none = F.array().cast("array<int>")
+
+        def merge(p: Column, r: Column, at: Column, joined: Column) -> Column:
+            """The parts at and at + 1, counted from 1, become one; only the ranks beside it change."""
+            before = F.when(at > 1, F.array(self.rank(F.concat(F.get(p, at - 2), joined)))).otherwise(none)
+            after = F.when(at < F.size(r), F.array(self.rank(F.concat(joined, F.get(p, at + 1))))).otherwise(none)
+            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(r)))
+            return F.struct(F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p))).alias("p"), ranks.alias("r"))
 
         def step(state: Column, _: Column) -> Column:
             p, r = state["p"], state["r"]
-            best = F.array_min(r)
-            at = F.array_position(r, best).cast("int")  # the pair of parts at and at + 1, counted from 1
-            left, right = F.slice(p, F.lit(1), at - 1), F.slice(p, at + 2, F.size(p))
-            joined = F.concat(F.get(p, at - 1), F.get(p, at))
-            before = F.when(at > 1, F.array(self.rank(F.concat(F.get(p, at - 2), joined)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at < F.size(r), F.array(self.rank(F.concat(joined, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(r)))
-            merged = F.struct(F.concat(left, F.array(joined), right).alias("p"), ranks.alias("r"))
-            return F.when(best.isNull(), state).otherwise(merged)
+            found = lambda best: _bind(F.array_position(r, best).cast("int"), lambda at: _bind(F.concat(F.get(p, at - 1), F.get(p, at)), lambda joined: merge(p, r, at, joined)))
+            return _bind(F.array_min(r), lambda best: F.when(best.isNull(), state).otherwise(found(best)))
 
         last = F.when(n > 1, F.aggregate(F.sequence(F.lit(1), n - 1), start, step)["p"]).otherwise(parts)
         return F.transform(last, self.rank)
