@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 KEY = ["map_id", "x", "y"]
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """df under new column identities, so that it can be cogrouped with a frame that it derives from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _along_x():
     return Window.partitionBy("map_id", "y").orderBy("x")
 
