@@ -1 +1 @@
-
+"""Lookups and building events over streams."""
