@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-The pattern splits a text into words in the JVM. A word's bytes are an array of byte strings, and a fold merges, step by step,
-every occurrence of the pair whose joint bytes rank lowest, until no pair has a rank. Ranks come from one literal: the
-vocabulary as an array of small maps, chosen by a hash of the bytes (a single map literal would be searched entry by entry).
+The pattern splits a text into words in the JVM. A word's bytes are an array of ids, and a fold merges, step by step, the
+first of the pairs whose joint bytes rank lowest, until no pair has a rank. Ranks come from one literal: all pairs of the
+vocabulary as an array of small maps, chosen by a hash of the pair (a single map literal would be searched entry by entry).
 
 The fold runs once per distinct word: the most frequent words of a bounded sample are folded once in advance and enter the
 plan as a second literal of the same form, of a fixed size; words outside it are folded where they stand. What is in the sample
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from gridmesa.llm.common import bounded_sample, text_or_empty, written
 
 #: The literal of folded words holds at most so many, of at most MAX_WORD characters each, from about SAMPLE_ROWS texts.
 WORDS, MAX_WORD, SAMPLE_ROWS = 1 << 18, 32, 20_000
-RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 17
+RANK_BUCKETS, PAIR_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 18, 1 << 17
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -60,46 +61,60 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def merges(ranks: list[tuple[bytes, int]]) -> list[tuple[int, int]]:
+    """(pair, rank) for every two pieces whose joint bytes are a piece; a pair is the left id times 2**20 plus the right id."""
+    known = dict(ranks)
+    return [((known[piece[:i]] << 20) | known[piece[i:]], rank) for piece, rank in ranks for i in range(1, len(piece)) if piece[:i] in known and piece[i:] in known]
+
+
 class Codec:
     """Literals for one vocabulary, each of a size that the vocabulary or WORDS and MAX_WORD bound."""
 
     def __init__(self, spark: SparkSession, path: str):
         ranks = read_ranks(path)
-        table = spark.createDataFrame(ranks, "piece binary, rank int")
-        self.ranks = _literal(_bucketed(table.select(F.hex("piece").alias("piece"), "rank"), "piece", "rank", RANK_BUCKETS))
-        size = 1 + max((r for _, r in ranks), default=-1)
-        pieces = [None] * size
+        known = dict(ranks)
+        rows = lambda names, values: spark.createDataFrame(pa.table(dict(zip(names, map(pa.array, zip(*values, strict=True)), strict=True))))
+        self.ranks = _literal(_bucketed(rows(("piece", "rank"), [(p.hex().upper(), r) for p, r in ranks]).withColumn("rank", F.col("rank").cast("int")), "piece", "rank", RANK_BUCKETS))
+        pairs = merges(ranks) or [(-1, 0)]
+        self.pairs = _literal(_bucketed(rows(("pair", "rank"), pairs).withColumn("rank", F.col("rank").cast("int")), "pair", "rank", PAIR_BUCKETS))
+        pieces: list[str | None] = [None] * (1 + max(known.values(), default=-1))
         for piece, rank in ranks:
             pieces[rank] = piece.hex()
-        self.pieces = _literal(spark.createDataFrame([(pieces,)], "pieces array<string>"))
+        one = lambda value, kind: _literal(spark.createDataFrame([(value,)], f"v array<{kind}>"))
+        self.pieces = one(pieces, "string")
+        self.little = one([r.to_bytes(4, "little").hex() for r in range(len(pieces))], "string")
+        self.bytes = one([known.get(bytes([i])) for i in range(256)], "int")
         self.words: Column | None = None
 
-    def rank(self, piece: Column) -> Column:
-        return _lookup(self.ranks, piece, RANK_BUCKETS)
+    def pair(self, left: Column, right: Column) -> Column:
+        """The rank, which is also the id, of two pieces joined; null if they do not join."""
+        return _lookup(self.pairs, F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long")), PAIR_BUCKETS)
 
     def fold(self, word: Column) -> Column:
-        """Ids of a word: its bytes, as two hex digits each, merged pair by pair in the order of rank."""
-        n = F.octet_length(word)
-        parts = _bind(F.hex(F.encode(word, "utf-8")), lambda digits: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2))))
-        rank_of = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(F.concat(F.get(p, i - 1), F.get(p, i))))
-        start = _bind(parts, lambda p: F.struct(p.alias("p"), F.when(n > 1, rank_of(p)).otherwise(F.array().cast("array<int>")).alias("r")))
-
-        none = F.array().cast("array<int>")
-
-        def merge(p: Column, r: Column, at: Column, joined: Column) -> Column:
-            """The parts at and at + 1, counted from 1, become one; only the ranks beside it change."""
-            before = F.when(at > 1, F.array(self.rank(F.concat(F.get(p, at - 2), joined)))).otherwise(none)
-            after = F.when(at < F.size(r), F.array(self.rank(F.concat(joined, F.get(p, at + 1))))).otherwise(none)
-            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(r)))
-            return F.struct(F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p))).alias("p"), ranks.alias("r"))
+        """Ids of a word: a piece of the vocabulary as it is, else its bytes' ids, merged pair by pair in the order of rank."""
+        n, none = F.octet_length(word), F.array().cast("array<int>")
+        byte = lambda digits: lambda i: F.get(self.bytes, F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+        ranks = lambda p: F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.pair(F.get(p, i - 1), F.get(p, i)))
+
+        def merge(p: Column, r: Column, best: Column, at: Column) -> Column:
+            """The parts at and at + 1, counted from 1, become the piece `best`; only the ranks beside it change."""
+            before = F.when(at > 1, F.array(self.pair(F.get(p, at - 2), best))).otherwise(none)
+            after = F.when(at < F.size(r), F.array(self.pair(best, F.get(p, at + 1)))).otherwise(none)
+            rest = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(r)))
+            return F.struct(F.concat(F.slice(p, F.lit(1), at - 1), F.array(best), F.slice(p, at + 2, F.size(p))).alias("p"), rest.alias("r"))
 
         def step(state: Column, _: Column) -> Column:
             p, r = state["p"], state["r"]
-            found = lambda best: _bind(F.array_position(r, best).cast("int"), lambda at: _bind(F.concat(F.get(p, at - 1), F.get(p, at)), lambda joined: merge(p, r, at, joined)))
+            found = lambda best: _bind(F.array_position(r, best).cast("int"), lambda at: merge(p, r, best, at))
             return _bind(F.array_min(r), lambda best: F.when(best.isNull(), state).otherwise(found(best)))
 
-        last = F.when(n > 1, F.aggregate(F.sequence(F.lit(1), n - 1), start, step)["p"]).otherwise(parts)
-        return F.transform(last, self.rank)
+        def folded(digits: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(0), n - 1), byte(digits))
+            start = _bind(parts, lambda p: F.struct(p.alias("p"), ranks(p).alias("r")))
+            return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), n - 1), start, step)["p"]).otherwise(parts)
+
+        whole = lambda digits: _bind(_lookup(self.ranks, digits, RANK_BUCKETS), lambda rank: F.when(rank.isNull(), folded(digits)).otherwise(F.array(rank)))
+        return _bind(F.hex(F.encode(word, "utf-8")), whole)
 
     def learn_words(self, docs: DataFrame, words: DataFrame) -> None:
         """Folds the distinct words (column w) once and keeps them as a literal."""
@@ -132,7 +147,6 @@ def decode(ids: Column, codec: Codec) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(codec.pieces, i)), ""))
 
 
-def little_endian(ids: Column) -> Column:
+def little_endian(ids: Column, codec: Codec) -> Column:
     """Ids as unsigned 32-bit integers, little end first."""
-    digit = lambda i, k: F.lpad(F.hex(F.shiftright(i, 8 * k).bitwiseAND(F.lit(255))), 2, "0")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(*[digit(i, k) for k in range(4)])), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(codec.little, i)), ""))

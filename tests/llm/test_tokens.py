@@ -48,7 +48,7 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, words):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded, codec = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ["doc_id"], words=words)
-    for r in encoded.select("doc_id", "ids", byte_bpe.decode(F.col("ids"), codec).alias("bytes"), byte_bpe.little_endian(F.col("ids")).alias("le")).collect():
+    for r in encoded.select("doc_id", "ids", byte_bpe.decode(F.col("ids"), codec).alias("bytes"), byte_bpe.little_endian(F.col("ids"), codec).alias("le")).collect():
         text = (TEXTS + TEXTS[3:5])[r.doc_id] or ""
         assert r.ids == library.encode_ordinary(text) and bytes(r.bytes) == text.encode() and bytes(r.le) == np.array(r.ids, "<u4").tobytes()
 
