@@ -297,3 +297,16 @@ def t15(spark, sf):
     direct = qg._distances(spark, sf).select("id", F.col("dist").alias("direct"))
     gated = routing.distances(fx.walk_cells(spark, sf), qg._gated(spark, sf), "raw").select("id", F.col("dist").alias("gated"))
     return direct.join(gated, "id", "left").select("id", "direct", F.coalesce("gated", F.lit(-1)).alias("gated"))
+
+
+@REGISTER("q21_analyze")
+def q21(spark, sf):
+    """Rows of every result table of the whole analysis."""
+    from gridmesa.plans.analysis import analyze
+
+    found = analyze(fx.walk_cells(spark, sf), fx.buildings(spark, sf).where("id % 8 = 0"), _small(spark, sf))
+    rows = None
+    for name, df in found.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("result"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
