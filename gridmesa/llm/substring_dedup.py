@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -128,10 +129,18 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bit_map(ranks: DataFrame) -> np.ndarray:
+    """The map's words, put together on the executors in blocks of 32 KB, of which the driver gets 512 at most."""
     slot = F.pmod("rank", F.lit(1 << MAP_BITS))
-    words = ranks.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(rank, {1 << MAP_BITS}) & 63 AS int))")).alias("bits")).toPandas()
+    words = ranks.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(rank, {1 << MAP_BITS}) & 63 AS int))")).alias("bits"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(4096, np.int64)
+        block[pdf.word.to_numpy(np.int64) & 4095] = pdf.bits
+        return pd.DataFrame({"block": [pdf.word.iloc[0] >> 12], "words": [block.tobytes()]})
+
     out = np.zeros((1 << MAP_BITS) // 64, np.uint64)
-    out[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
+    for r in words.groupBy(F.shiftright("word", 12).alias("b")).applyInPandas(pack, "block long, words binary").toLocalIterator():
+        out[r.block * 4096 : (r.block + 1) * 4096] = np.frombuffer(r.words, np.uint64)
     return out
 
 
