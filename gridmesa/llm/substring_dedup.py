@@ -37,7 +37,7 @@ HOT = 50_000
 #: Bits in each of the two maps (16 MB).
 MAP_BITS = 27
 #: Bytes of text whose names are made at once, and rows' bytes compared at once.
-PIECE = 1 << 20
+PIECE = 1 << 17
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
