@@ -74,7 +74,8 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     flagged = hashes.withColumn("_maybe", maybe)
     alone = flagged.where(~F.col("_maybe")).withColumns({"keep_id": F.col(key), "group_size": F.lit(1).cast("long")})
     shared = flagged.where("_maybe")
-    groups = shared.groupBy("text_sha256").agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that the join deals both sides itself and can split a hot group's partition.
+    groups = written(shared.groupBy("text_sha256").agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size")), "groups")
     out = alone.unionByName(shared.join(groups, "text_sha256"))
     return out.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
