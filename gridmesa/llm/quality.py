@@ -49,7 +49,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     weights = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
     slots, place = np.unique(slots, return_inverse=True)
     weights = np.bincount(place, weights, len(slots))
-    weights /= max(1e-9, np.sqrt((weights**2).sum()))
+    weights = weights / max(1e-9, np.sqrt((weights**2).sum()))  # of no words, bincount gives integers
     return np.concatenate([slots, BUCKETS + np.arange(len(STATISTICS))]), np.concatenate([weights, values * scale])
 
 
