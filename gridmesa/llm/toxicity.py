@@ -22,6 +22,7 @@ unless named like a result, which replaces them. Without labelled rows of both c
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,15 +44,23 @@ LEAST_LIFT = 4.5
 PIECE = 1 << 19
 _SPACINGS = [(j, k) for k in range(2, MAX_SPAN) for j in range(1, k)]
 _SYMBOLS = 63
+#: Stands for a line break among words.
+_BREAK = "\0"
+#: Words remembered by a worker.
+KNOWN_WORDS = 600_000
+#: Three words of one character in a row.
+_LETTERS = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
+#: White space as str.split() has it, by code point.
+_SPACES = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
-def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _units(texts: list[str], joined_letters: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case code points, of white space just one before each unit (a word, or a run of single letters); each one's unit, each unit's sentence, each sentence's text."""
     lowered = [t.lower() for t in texts]
     points = np.frombuffer("".join([f"\n{t}" for t in lowered]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     lengths = np.array([len(t) + 1 for t in lowered])
     owner = np.repeat(np.arange(len(texts)), lengths)
-    space = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0xA0)
+    space = _SPACES[np.minimum(points, len(_SPACES) - 1)]
     ends = ((points == 33) | (points == 46) | (points == 63)) & np.append(space[1:], True)
     breaks = ends | (points == 10)
     sentence = np.concatenate([[0], np.cumsum(breaks)[:-1]])
@@ -61,7 +70,7 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         return points[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = np.cumsum(starts) - 1
     size = np.bincount(word[~space], minlength=len(at))
-    joined = np.concatenate([[False], (size[1:] == 1) & (size[:-1] == 1) & (sentence[at][1:] == sentence[at][:-1])])
+    joined = np.zeros(len(at), bool) if not joined_letters else np.concatenate([[False], (size[1:] == 1) & (size[:-1] == 1) & (sentence[at][1:] == sentence[at][:-1])])
     unit_of_word = np.cumsum(~joined) - 1
     first = at[~joined]
     kept, place = np.unique(sentence[first], return_inverse=True)
@@ -165,15 +174,54 @@ class Model:
     slope: float
     offset: float
 
+    def __post_init__(self):
+        self.known: set[str] = set()
+        self.telling: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": set(), "telling": {}}
+
+    def _learn(self, words: set[str]) -> None:
+        """Notes for words not met before whether any kernel of theirs reaches FLOOR, and the vectors of those. At most KNOWN_WORDS are remembered."""
+        new = sorted(words - self.known)
+        if not new:
+            return
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            self.telling.clear()
+        for first, last in slices(new, PIECE // 2):
+            points, unit, _, _ = _units(["\n".join(new[first:last])], joined_letters=False)
+            vectors = self.kernel.units(points, unit, last - first)
+            self.telling.update((new[first + i], vectors[i].copy()) for i in np.flatnonzero(vectors.any(1)))
+        self.known.update(new)
+
+    def _margin(self, words: list[str]) -> float:
+        """The highest sentence of a text in words, line breaks being words of their own."""
+        sentences: list[np.ndarray] = []
+        last = None
+        for i in [i for i, w in enumerate(words) if w in self.telling]:
+            own = self.telling[words[i]]
+            if last is not None and not any(w == _BREAK or w[-1] in ".!?" for w in words[last:i]):
+                sentences[-1] = np.maximum(sentences[-1], own)
+            else:
+                sentences.append(own)
+            last = i
+        return float((np.array(sentences) @ self.weights).max()) + self.bias if sentences else self.bias
+
     def margins(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), -np.inf)
+        """Only words with a kernel of at least FLOOR tell; a text scores at least as a sentence without any, the bias."""
+        out = np.full(len(texts), self.bias)
         for first, last in slices(texts, PIECE):
-            group = texts[first:last]
-            parts = [(group, np.arange(first, last))] if len(group) > 1 else [([p], np.array([first])) for p in _cut(group[0])]
-            for pieces, index in parts:
-                vectors, owner = self.kernel.sentences(pieces)
-                np.maximum.at(out, index[owner], vectors @ self.weights + self.bias)
-        return np.where(np.isfinite(out), out, self.bias)
+            lowered = [t.lower() for t in texts[first:last]]
+            words = [t.replace("\n", f" {_BREAK} ").split() for t in lowered]
+            self._learn(set().union(*words))
+            for i, (text, own) in enumerate(zip(lowered, words, strict=True), first):
+                if _LETTERS.search(text):  # single letters stand apart, which only the kernel's own units join
+                    parts = [self.kernel.sentences([p])[0] for p in _cut(text)]
+                    out[i] = max([float((v @ self.weights).max()) + self.bias for v in parts if len(v)], default=self.bias)
+                else:
+                    out[i] = self._margin(own)
+        return np.maximum(out, self.bias)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -40, 40)))
@@ -250,7 +298,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_
         weight = np.where(sign > 0, 1 / max(1, (sign > 0).sum()), 1 / max(1, (sign < 0).sum()))
         w, b = _svm(features[used], sign, weight)
         margin = features @ w + b
-    top = np.maximum.reduceat(margin, heads)
+    top = np.maximum(np.maximum.reduceat(margin, heads), b)
     slope, offset = 1.0, 0.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(slope * top + offset, -40, 40)))
