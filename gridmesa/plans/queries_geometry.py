@@ -11,7 +11,7 @@ from gridmesa.plans.register import Register
 
 REGISTER = Register()
 _R = f"WITH {fx.RINGS_SQL}"
-_TOP = F.lit(60)
+_TOP = 60
 _AREAS = "areas AS (SELECT label, abs(sum(x * y2 - x2 * y)) / 2.0 AS area, bool_or(x = 0 OR y = 0 OR x = 60 OR y = 60) AS border FROM segments GROUP BY label)"
 
 
@@ -22,12 +22,12 @@ def _flat(df, *columns):
 
 @REGISTER("o15_touches_border", f"{_R}, {_AREAS} SELECT label, border FROM areas")
 def o15(spark, sf):
-    return fx.rings(spark, sf).select("label", geo.touches_border(F.col("ring"), _TOP, _TOP).alias("border"))
+    return fx.rings(spark, sf).select("label", geo.touches_border(F.col("ring"), F.lit(_TOP), F.lit(_TOP)).alias("border"))
 
 
 @REGISTER("o16_area_filter", f"{_R}, {_AREAS} SELECT label FROM areas WHERE area > CASE WHEN border THEN 40 ELSE 140 END")
 def o16(spark, sf):
-    return fx.rings(spark, sf).where(geo.kept_by_area(F.col("ring"), _TOP, _TOP)).select("label")
+    return fx.rings(spark, sf).where(geo.kept_by_area(F.col("ring"), F.lit(_TOP), F.lit(_TOP))).select("label")
 
 
 @REGISTER("o17_ring_rotation", f"""{_R}, starts AS (SELECT label, CASE WHEN bool_or(i = 0 AND (x = 0 OR y = 0 OR x = 48 OR y = 48)) THEN COALESCE(min(i) FILTER (x > 4 AND y > 4 AND x < 48 AND y < 48), 0) ELSE 0 END AS k FROM points GROUP BY label)
