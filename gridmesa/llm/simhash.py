@@ -146,6 +146,8 @@ def candidate_pairs(prints: DataFrame, radius: int, exact: bool) -> DataFrame:
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in covering_masks(radius)])
     rows = prints.select("id", "fp", F.posexplode(masks).alias("t", "mask")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
+    kept = np.array(covering_masks(radius), np.uint64)
+
     def run(batches):
         rest = None
         for batch in batches:
@@ -160,10 +162,13 @@ def candidate_pairs(prints: DataFrame, radius: int, exact: bool) -> DataFrame:
             yield from emit(rest, np.array([0, rest.num_rows]))
 
     def emit(table, bounds):
-        ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy().astype(np.uint64)
+        ids, fps, ts = table.column("id").to_numpy(), table.column("fp").to_numpy().astype(np.uint64), table.column("t").to_numpy()
         for k in np.flatnonzero(np.diff(bounds) > 1):
             own = slice(bounds[k], bounds[k + 1])
             i, j = _near_pairs(fps[own], radius, exact)
+            if exact or bounds[k + 1] - bounds[k] <= SMALL_BUCKET:  # all pairs are here, so each need only come from its first table
+                first = (((fps[own][i] ^ fps[own][j])[:, None] & kept) == 0).argmax(1)
+                i, j = i[first == ts[bounds[k]]], j[first == ts[bounds[k]]]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own][i]), pa.array(ids[own][j])], names=["a", "b"])
 
