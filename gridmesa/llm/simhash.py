@@ -23,13 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmesa.llm.common import appended_schema, arrow_texts, with_columns, written
+from gridmesa.llm.common import appended_schema, arrow_texts, bounded_sample, with_columns, written
 from gridmesa.llm.components import connected_components
+from gridmesa.llm.substring_dedup import _bit_map, _in_map
 
 WIDTH = 64
 SEED = 42
 #: Buckets of up to so many fingerprints are compared pair by pair.
 SMALL_BUCKET = 24
+#: Documents, at most about, in which common shingles are looked for, and the documents there that a common one is over.
+SAMPLE, COMMON = 20_000, 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingle hashes whose bits are counted at once.
 _BLOCK = 1 << 14
@@ -124,37 +127,61 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint32)).astype(np.int64)
 
 
-def _near_pairs(prints: np.ndarray, radius: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a bucket's members within the radius: all of them, block by block, or a linear number (each member with the first and with the next)."""
-    n = len(prints)
-    if not exact and n > SMALL_BUCKET:
-        i, j = np.concatenate([np.zeros(n - 1, np.int64), np.arange(n - 1)]), np.concatenate([np.arange(1, n), np.arange(1, n)])
-        near = np.bitwise_count(prints[i] ^ prints[j]) <= radius
+def _summary(shingles: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shingle set, the parity of the count in each of 256 hash classes (four words), and the first shingles in the common order: those in `common` last.
+
+    Two sets differ in at least as many shingles as parities. Sets of the similarity share so many shingles that the first
+    one they share is among these of both.
+    """
+    parity = np.packbits((np.bincount(shingles & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64)
+    last = np.isin(shingles, common)
+    return parity, np.concatenate([shingles[~last], shingles[last]])[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1]
+
+
+def _bucket_pairs(component, n, at, parity, similarity: float, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a bucket's members that are in different components and may have the similarity: all of them, or a linear number (each with the next and with the most central)."""
+    share, size = (1 - similarity) / (1 + similarity), len(n)
+
+    def possible(i, j):
+        # Sets of the similarity differ in at most this many shingles; all before the first shared one are among them.
+        most = (n[i] + n[j]) * share + 1e-9
+        i, j = (x[(component[i] != component[j]) & (abs(n[i] - n[j]) <= most) & (at[i] + at[j] <= most)] for x in (i, j))
+        near = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64) <= (n[i] + n[j]) * share + 1e-9
         return i[near], j[near]
+
+    names, index, counts = np.unique(component, return_inverse=True, return_counts=True)
+    if len(names) == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not exact and size > SMALL_BUCKET:
+        bits = np.unpackbits(np.ascontiguousarray(parity[: 1 << 16]).view(np.uint8), axis=1)
+        hub = int((bits != (bits.mean(0) > 0.5)).sum(1).argmin())
+        return possible(np.concatenate([np.full(size, hub), np.arange(size - 1)]), np.concatenate([np.arange(size), np.arange(1, size)]))
+    # Members of the largest component are compared with the others only.
+    inside = index == counts.argmax()
+    order = np.lexsort([n, inside])
     left, right = [], []
-    for a in range(0, n, 2048):
-        for b in range(a, n, 2048):
-            i, j = np.nonzero(np.bitwise_count(prints[a : a + 2048, None] ^ prints[None, b : b + 2048]) <= radius)
-            i, j = i + a, j + b
-            left.append(i[i < j])
-            right.append(j[i < j])
+    for a in range(0, size - int(inside.sum()), 1024):
+        for b in range(a, size, 1024):
+            i, j = np.meshgrid(order[a : a + 1024], order[b : b + 1024], indexing="ij")
+            if a == b:
+                upper = np.triu_indices(len(i), 1)
+                i, j = i[upper], j[upper]
+            i, j = possible(i.ravel(), j.ravel())
+            left.append(i)
+            right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidate_pairs(prints: DataFrame, radius: int, exact: bool) -> DataFrame:
-    """(a, b): rows of prints (id, fp) within the radius. Each pair within the radius shares a bucket; unless `exact`, buckets of over SMALL_BUCKET members give a linear number of their pairs."""
-    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in covering_masks(radius)])
-    rows = prints.select("id", "fp", F.posexplode(masks).alias("t", "mask")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-
-    kept = np.array(covering_masks(radius), np.uint64)
+def candidate_pairs(rows: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """(a, b): ids of rows (rank, at, id, component, n, p0 to p3) that share a rank, are in different components and may have the similarity. Unless `exact`, buckets of over SMALL_BUCKET members give a linear number of their pairs."""
 
     def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = pa.concat_tables([rest, table]) if rest is not None else table
-            t, key = rest.column("t").to_numpy(), rest.column("key").to_numpy()
-            change = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+            rank = rest.column("rank").to_numpy()
+            change = np.flatnonzero(rank[1:] != rank[:-1]) + 1
             if len(change):
                 yield from emit(rest.slice(0, change[-1]), np.concatenate([[0], change]))
                 rest = rest.slice(change[-1])
@@ -162,17 +189,20 @@ def candidate_pairs(prints: DataFrame, radius: int, exact: bool) -> DataFrame:
             yield from emit(rest, np.array([0, rest.num_rows]))
 
     def emit(table, bounds):
-        ids, fps, ts = table.column("id").to_numpy(), table.column("fp").to_numpy().astype(np.uint64), table.column("t").to_numpy()
+        ids, component, n, at = (table.column(c).to_numpy() for c in ("id", "component", "n", "at"))
+        parity = np.stack([table.column(f"p{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
+        left, right = [], []
         for k in np.flatnonzero(np.diff(bounds) > 1):
             own = slice(bounds[k], bounds[k + 1])
-            i, j = _near_pairs(fps[own], radius, exact)
-            if exact or bounds[k + 1] - bounds[k] <= SMALL_BUCKET:  # all pairs are here, so each need only come from its first table
-                first = (((fps[own][i] ^ fps[own][j])[:, None] & kept) == 0).argmax(1)
-                i, j = i[first == ts[bounds[k]]], j[first == ts[bounds[k]]]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own][i]), pa.array(ids[own][j])], names=["a", "b"])
+            i, j = _bucket_pairs(component[own], n[own], at[own], parity[own], similarity, exact)
+            left.append(ids[own][i])
+            right.append(ids[own][j])
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "id").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("rank").sortWithinPartitions("rank", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -189,29 +219,61 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingl
     return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def _common_shingles(docs: DataFrame, key: str, text: str, shingle: int) -> np.ndarray:
+    """Sorted shingles that are in over COMMON documents of a bounded sample. They only set the order, so the sample changes the time and never the result."""
+
+    def run(batches):
+        for _, texts in arrow_texts(batches, text):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in texts]))], names=["rank"])
+
+    sample = bounded_sample(docs, SAMPLE, key).select(text).mapInArrow(run, "rank long")
+    return np.array(sorted(r.rank for r in sample.groupBy("rank").count().where(F.col("count") > COMMON).toLocalIterator()), np.int64)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay, one per group of near-duplicates (that of the smallest integer key), with docs' columns.
 
-    Candidates are pairs whose fingerprints of distinct words are within the radius, all of which the covering tables find;
-    they link if at least `similarity` of their word shingles are shared. A first round gives large buckets a linear number
-    of their pairs, which joins large groups of copies; a second compares all pairs of what is left, if there were any.
-    Rows with a null key always stay.
+    Documents link if at least `similarity` of their word shingles are shared, and groups are the components of all links.
+    The search for them loses none: with all shingles in one order, two such sets share one of their first shingles, a
+    fifth of each for 0.8. Equal sets form one class first. Two rounds then compare a linear number of each bucket's pairs,
+    and a last one every pair that may have the similarity and is not in one component yet; all documents take part in all
+    rounds. Rows with a null key always stay.
     """
+    context = docs.sparkSession.sparkContext
+    keyed = docs.where(F.col(key).isNotNull())
+    common = context.broadcast(_common_shingles(keyed, key, text, shingle))
 
-    def run(batches):
+    def summaries(batches):
         for part, texts in arrow_texts(batches, text):
-            yield with_columns(part, ["id"], fp=pa.array(np.array([distinct_word_fingerprint(t) for t in texts], np.uint64).astype(np.int64)))
-
-    prints = written(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, fp long"), "fingerprints")
-    dropped = None
-    for exact in (False, True):
-        left = prints if dropped is None else written(prints.join(dropped, "id", "left_anti"), "fingerprints")
-        pairs = written(candidate_pairs(left, radius, exact), "pairs")
-        similar = similar_pairs(pairs, docs, key, text, shingle, similarity)
-        found = connected_components(similar).where("node != component").select(F.col("node").alias("id"))
-        dropped = written(found if dropped is None else dropped.unionByName(found), "dropped")
-        masks = F.array(*[F.lit(_signed(m)).cast("long") for m in covering_masks(radius)])
-        keyed = left.select("fp", F.posexplode(masks).alias("t", "mask")).groupBy("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        if not exact and keyed.count().where(F.col("count") > SMALL_BUCKET).isEmpty():
-            break
+            sets = [shingle_set(t, shingle) for t in texts]
+            parity, first = zip(*[_summary(s, common.value, similarity) for s in sets], strict=True)
+            digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield with_columns(part, ["id"], digest=digest, n=pa.array([len(s) for s in sets], pa.int64()), parity=pa.array(parity, pa.list_(pa.int64())), first=pa.array(first, pa.list_(pa.int64())))
+
+    sets = written(keyed.select(F.col(key).cast("long").alias("id"), text).mapInArrow(summaries, "id long, digest binary, n long, parity array<long>, first array<long>"), "summaries")
+    classes = written(sets.groupBy("digest").agg(F.min(F.struct("id", "n", "parity", "first")).alias("least")).select("digest", "least.*"), "classes")
+    copies = sets.select("id", "digest").join(classes.select("digest", F.col("id").alias("least")), "digest").where("id > least").select("id")
+    repeated = written(classes.select(F.explode("first").alias("rank")).groupBy("rank").count().where("count > 1").select("rank"), "repeated-shingles")
+    bits = context.broadcast(_bit_map(repeated))
+
+    def in_buckets(batches):
+        for batch in batches:
+            lists = batch.column("first")
+            lengths, rank = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            at = np.arange(len(rank)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            use = np.flatnonzero(_in_map(bits.value, rank))
+            owner = np.repeat(np.arange(len(lengths)), lengths)[use]
+            parity = batch.column("parity").flatten().to_numpy().reshape(-1, 4)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(rank[use]), pa.array(at[use]), batch.column("id").take(pa.array(owner)), batch.column("n").take(pa.array(owner)), *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)]], names=["rank", "at", "id", "n", "p0", "p1", "p2", "p3"])
+
+    rows = written(classes.select("id", "n", "parity", "first").mapInArrow(in_buckets, "rank long, at long, id long, n long, p0 long, p1 long, p2 long, p3 long"), "buckets")
+    edges, labels = None, rows.sparkSession.createDataFrame([], "id long, component long")
+    for places, exact in ((3, False), (None, False), (None, True)):
+        now = (rows if places is None else rows.where(F.col("at") < places)).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pairs = written(candidate_pairs(now, similarity, exact), "pairs")
+        similar = written(similar_pairs(pairs, docs, key, text, shingle, similarity), "similar")
+        edges = similar if edges is None else edges.unionByName(similar)
+        if not similar.isEmpty():
+            labels = written(connected_components(edges).select(F.col("node").alias("id"), "component"), "labels")
+    dropped = labels.where("id != component").select("id").unionByName(copies)
     return docs.join(dropped.select(F.col("id").alias("_dropped")), F.col(key) == F.col("_dropped"), "left_anti")

@@ -128,6 +128,43 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert kept == set(range(12))
 
 
+def _kept_by_jaccard(rows):
+    """Ids that stay when all pairs of 0.8 are linked, by comparing all of them."""
+    sets, root = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            common = len(sets[i] & sets[j])
+            if j < i and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in sets}
+
+
+def _edited(rng, words, n):
+    for at in rng.sample(range(len(words)), n):
+        words = [*words[:at], f"new{rng.randrange(10**9)}", *words[at + 1 :]]
+    return words
+
+
+def test_near_copies_go_however_far_their_fingerprints(spark):
+    rng = random.Random(3)
+    rows, far = [], 0
+    for g in range(80):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 90))]
+        texts = [" ".join(w) for w in (words, _edited(rng, words, 1))]
+        far += (simhash.distinct_word_fingerprint(texts[0]) ^ simhash.distinct_word_fingerprint(texts[1])).bit_count() > 5
+        rows += [(2 * g + k, t) for k, t in enumerate(texts)]
+    assert far > 5
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == _kept_by_jaccard(rows)
+
+
 def _brute(texts, length):
     data = [(t or "").encode() for t in texts]
     counts = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmesa.llm import simhash
-from tests.llm.test_dedup import _brute
+from tests.llm.test_dedup import _brute, _kept_by_jaccard
 
 SF = "/root/testdata/sf0.001"
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -64,6 +64,10 @@ def test_near_copies_go(stages):
     assert set(_texts(stages[3])) == {find(i) for i in ids}
 
 
+def test_near_copies_go_by_similarity_alone(stages):
+    assert set(_texts(stages[3])) == _kept_by_jaccard(sorted(_texts(stages[2]).items()))
+
+
 def test_repeated_passages_go(stages):
     before, after = _texts(stages[3]), _texts(stages[4])
     ids = sorted(before)
