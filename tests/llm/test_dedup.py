@@ -165,6 +165,14 @@ def test_near_copies_go_however_far_their_fingerprints(spark):
     assert kept == _kept_by_jaccard(rows)
 
 
+def test_copies_of_a_text_with_a_middle_id_go(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    rows = [(i, " ".join(words if i == 100 else _edited(rng, words, 9))) for i in range(201)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == _kept_by_jaccard(rows) == {0}
+
+
 def _brute(texts, length):
     data = [(t or "").encode() for t in texts]
     counts = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
