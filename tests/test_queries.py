@@ -31,3 +31,10 @@ def test_query(spark, oracle, name):
     assert len(got.columns)
     if name in catalogue.ORACLES:
         assert _rows(got) == _rows(oracle.sql(catalogue.ORACLES[name]).df())
+
+
+def test_whole_analysis_takes_every_building(spark, monkeypatch):
+    from gridmesa.plans import analysis
+
+    monkeypatch.setattr(analysis, "analyze", lambda walk, buildings, resources: {"buildings": buildings})
+    assert [tuple(r) for r in catalogue.QUERIES["q21_analyze"](spark, SF).collect()] == [("buildings", spark.read.parquet(f"{SF}/nation.parquet").count())]
