@@ -59,9 +59,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded, codec = byte_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
-    sha = lambda x: F.sha2(x, 256)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(byte_bpe.little_endian(F.col("ids"), codec)).alias("ids_sha256"), sha(byte_bpe.decode(F.col("ids"), codec)).alias("decoded_sha256"))
+    encoded = byte_bpe.encode_bytes(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
