@@ -2,7 +2,7 @@
 
 The archive has a header at a multiple of 512 bytes, an encrypted hash table that finds a member by three hashes of its
 name, an encrypted block table, and members stored in sectors that may each be encrypted and compressed. Codecs: zlib,
-bzip2, LZMA, sparse runs, and the PKWARE format; the audio codecs are not for scenario files and raise an error.
+bzip2, LZMA, sparse runs, and the PKWARE format with plain literals; the audio codecs are not for scenario files and raise an error.
 """
 
 from __future__ import annotations
@@ -65,19 +65,23 @@ def crypt(data: bytes, key: int, encrypt: bool = False) -> bytes:
     return struct.pack(f"<{len(words)}I", *words) + data[len(words) * 4 :]
 
 
-# Fixed values of the PKWARE format: code lengths as (length, how many symbols in a row), then bases and extra bits of match lengths.
-_LITERALS = [11, 124, 8, 7, 28, 7, 188, 13, 76, 4, 10, 8, 12, 10, 12, 10, 8, 23, 8, 9, 7, 6, 7, 8, 7, 6, 55, 8, 23, 24, 12, 11, 7, 9, 11, 12, 6, 7, 22, 5, 7, 24, 6, 11, 9, 6, 7, 22, 7, 11, 38, 7, 9, 8, 25, 11, 8, 11, 9, 12, 8, 12, 5, 38, 5, 38, 5, 11, 7, 5, 6, 21, 6, 10, 53, 8, 7, 24, 10, 27, 44, 253, 253, 253, 252, 252, 252, 13, 12, 45, 12, 45, 12, 61, 12, 45, 44, 173]
-_LENGTHS = [2, 35, 36, 53, 38, 23]
-_DISTANCES = [2, 20, 53, 230, 247, 151, 248]
-_BASE = [3, 2, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24, 40, 72, 136, 264]
-_EXTRA = [0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8]
+# Fixed values of the PKWARE format: the lengths of the codes of match lengths and of distances, symbol by symbol; then the least
+# match length of each symbol and its number of extra bits.
+LENGTH_CODES = [
+    2, 3, 3, 3, 4, 4, 4, 5, 5, 5, 5, 6, 6, 6, 7, 7,
+]
+DISTANCE_CODES = [
+    2, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, 6, 6, 6,
+    6, 6, 6, 6, 6, 6, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7,
+    7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7,
+    8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8,
+]
+LEAST_LENGTHS = [3, 2, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24, 40, 72, 136, 264]
+EXTRA_BITS = [0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8]
 
 
-@lru_cache(3)
-def _codes(kind: str) -> dict[tuple[int, int], int]:
-    """(length, code) to symbol, codes canonical in the order of symbols; each packed entry is a run: low four bits a length, the others how many more."""
-    packed = {"literals": _LITERALS, "lengths": _LENGTHS, "distances": _DISTANCES}[kind]
-    lengths = [p & 15 for p in packed for _ in range((p >> 4) + 1)]
+def _codes(lengths: list[int]) -> dict[tuple[int, int], int]:
+    """(length, code) to symbol: canonical codes, shorter ones first and equal ones in the order of symbols."""
     code, out = 0, {}
     for size in range(1, max(lengths) + 1):
         for symbol, own in enumerate(lengths):
@@ -88,38 +92,50 @@ def _codes(kind: str) -> dict[tuple[int, int], int]:
     return out
 
 
-def explode(data: bytes) -> bytes:
-    """PKWARE: literals and matches under fixed codes. Codes are read bit by bit, inverted; numbers low bit first."""
-    at, out = 16, bytearray()
-    coded, window_bits = data[0] == 1, data[1]
+LENGTH_SYMBOLS, DISTANCE_SYMBOLS = _codes(LENGTH_CODES), _codes(DISTANCE_CODES)
+
+
+class _Bits:
+    """Reads numbers low bit first, and codes bit by bit, inverted."""
 
-    def bits(n: int) -> int:
-        nonlocal at
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, at
+
+    def number(self, width: int) -> int:
         value = 0
-        for k in range(n):
-            value |= (data[at >> 3] >> (at & 7) & 1) << k
-            at += 1
+        for k in range(width):
+            value |= (self.data[self.at >> 3] >> (self.at & 7) & 1) << k
+            self.at += 1
         return value
 
-    def symbol(kind: str) -> int:
-        table, code, size = _codes(kind), 0, 0
-        while True:
-            code, size = code << 1 | (1 - bits(1)), size + 1
-            if (size, code) in table:
-                return table[size, code]
+    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+        code = size = 0
+        while size < 16:
+            code, size = code << 1 | (1 - self.number(1)), size + 1
+            if (size, code) in codes:
+                return codes[size, code]
+        raise ValueError("a code that the format does not have")
+
 
+def explode(data: bytes) -> bytes:
+    """PKWARE data with plain literals: bytes and copies of earlier output, as Ben Rudiak-Gould described the format publicly in 2001. Literals under codes, which archives of this kind do not use, are not supported."""
+    if data[0] != 0:
+        raise ValueError("coded literals are not supported")
+    window, bits, out = data[1], _Bits(data, 16), bytearray()
     while True:
-        if not bits(1):
-            out.append(symbol("literals") if coded else bits(8))
+        if not bits.number(1):
+            out.append(bits.number(8))
             continue
-        k = symbol("lengths")
-        length = _BASE[k] + bits(_EXTRA[k])
+        k = bits.symbol(LENGTH_SYMBOLS)
+        length = LEAST_LENGTHS[k] + bits.number(EXTRA_BITS[k])
         if length == 519:
             return bytes(out)
-        low = 2 if length == 2 else window_bits
-        distance = (symbol("distances") << low) + bits(low) + 1
+        low = 2 if length == 2 else window
+        back = (bits.symbol(DISTANCE_SYMBOLS) << low) + bits.number(low) + 1
+        if back > len(out):
+            raise ValueError("a copy from before the beginning")
         for _ in range(length):
-            out.append(out[-distance])
+            out.append(out[-back])
 
 
 def unsparse(data: bytes) -> bytes:
@@ -145,6 +161,8 @@ def decompress(sector: bytes, size: int) -> bytes:
     """A sector shorter than `size` starts with a byte that names its codecs, undone in a fixed order."""
     if len(sector) >= size:
         return sector[:size]
+    if not sector:
+        raise ValueError("an empty sector")
     mask, data = sector[0], sector[1:]
     if mask == LZMA:
         return _unlzma(data)
@@ -207,17 +225,52 @@ class Archive:
         return b"".join(out)
 
 
+#: What reading a damaged archive may raise: lists and structures that end early, codecs that meet what they cannot read.
+DAMAGE = (ValueError, IndexError, struct.error, zlib.error, lzma.LZMAError, OSError, EOFError, MemoryError, OverflowError)
+
+
 def extract(files: DataFrame, member: str = SCENARIO) -> DataFrame:
-    """(map_id, content): the member of every archive (map_id, content); null where the file is no archive or lacks it."""
+    """(map_id, content, problem): the member of every archive (map_id, content). Without content there is a problem: 'no file' (null content), 'no member', or what made the archive unreadable; a file that cannot be read never ends the job."""
 
-    def one(content: bytes | None) -> bytes | None:
+    def one(content: bytes | None) -> tuple[bytes | None, str | None]:
+        if content is None:
+            return None, "no file"
         try:
-            return Archive(content).read(member) if content else None
-        except (ValueError, struct.error):
-            return None
+            found = Archive(content).read(member)
+        except DAMAGE as error:
+            return None, f"{type(error).__name__}: {error}"
+        return found, None if found is not None else "no member"
+
+    def run(batches):
+        for pdf in batches:
+            got = [one(c) for c in pdf.content]
+            yield pd.DataFrame({"map_id": pdf.map_id, "content": [c for c, _ in got], "problem": [p for _, p in got]})
+
+    return files.select("map_id", "content").mapInPandas(run, "map_id string, content binary, problem string")
+
+
+def pack(content: bytes, member: str = SCENARIO, shift: int = 3) -> bytes:
+    """The smallest archive that holds one member, encrypted and compressed with zlib by sector."""
+    sector, name = 512 << shift, member.rpartition("\\")[2]
+    parts = [content[i : i + sector] for i in range(0, len(content), sector)]
+    parts = [min(p, bytes([ZLIB]) + zlib.compress(p), key=len) for p in parts]
+    bounds = [4 * (len(parts) + 1)]
+    for part in parts:
+        bounds.append(bounds[-1] + len(part))
+    key = name_hash(name, KEY)
+    body = crypt(struct.pack(f"<{len(bounds)}I", *bounds), (key - 1) & _M, True) + b"".join(crypt(p, (key + i) & _M, True) for i, p in enumerate(parts))
+    hashes = [(name_hash(member, NAME_A), name_hash(member, NAME_B), 0, 0)]
+    blocks = [(32, len(body), len(content), EXISTS | COMPRESSED | ENCRYPTED)]
+    table = lambda rows, kind: crypt(b"".join(struct.pack("<IIII", *r) for r in rows), name_hash(kind, KEY), True)
+    end = 32 + len(body)
+    return struct.pack("<4sIIHHIIII", b"MPQ\x1a", 32, end + 32, 0, shift, end, end + 16, 1, 1) + body + table(hashes, "(hash table)") + table(blocks, "(block table)")
+
+
+def wrapped(files: DataFrame, member: str = SCENARIO) -> DataFrame:
+    """(map_id, content): every file (map_id, content) as the member of an archive of its own."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"map_id": pdf.map_id, "content": [one(c) for c in pdf.content]})
+            yield pd.DataFrame({"map_id": pdf.map_id, "content": [None if c is None else pack(bytes(c), member) for c in pdf.content]})
 
     return files.select("map_id", "content").mapInPandas(run, "map_id string, content binary")

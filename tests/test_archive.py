@@ -69,6 +69,27 @@ def test_sparse_runs():
 
 
 def test_extract(spark):
-    rows = [("m", build({a.SCENARIO: (TEXT, a.COMPRESSED, a.ZLIB)})), ("n", b"no archive"), ("o", None), ("p", build({"other": (TEXT, 0, 0)}))]
-    got = {r.map_id: r.content for r in a.extract(spark.createDataFrame(rows, "map_id string, content binary")).collect()}
-    assert bytes(got.pop("m")) == TEXT and got == {"n": None, "o": None, "p": None}
+    good = build({a.SCENARIO: (TEXT, a.COMPRESSED, a.ZLIB)})
+    rows = [("m", good), ("n", b"no archive"), ("o", None), ("p", build({"other": (TEXT, 0, 0)}))]
+    got = {r.map_id: r for r in a.extract(spark.createDataFrame(rows, "map_id string, content binary")).collect()}
+    assert bytes(got["m"].content) == TEXT and got["m"].problem is None
+    assert {k: (got[k].content, got[k].problem) for k in "nop"} == {"n": (None, "ValueError: no archive header"), "o": (None, "no file"), "p": (None, "no member")}
+
+
+@pytest.mark.parametrize("codec", [a.ZLIB, a.BZIP2, a.LZMA])
+def test_damaged_archives_are_reported(spark, codec):
+    good = build({a.SCENARIO: (TEXT, a.COMPRESSED, codec)})
+    rng = random.Random(codec)
+    rows = [("cut", good[:900])]
+    for k in range(40):
+        bad = bytearray(good)
+        for _ in range(8):
+            bad[rng.randrange(544, len(bad))] ^= 1 << rng.randrange(8)
+        rows.append((f"flip{k}", bytes(bad)))
+    got = a.extract(spark.createDataFrame(rows, "map_id string, content binary")).collect()
+    assert len(got) == len(rows) and all((r.content is None) == (r.problem is not None) for r in got) and any(r.problem for r in got)
+
+
+def test_explode_refuses_coded_literals():
+    with pytest.raises(ValueError, match="coded literals"):
+        a.explode(bytes([1, 4, 0, 0]))
