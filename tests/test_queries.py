@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gridmesa.plans import catalogue
@@ -19,10 +20,18 @@ def oracle():
     return con
 
 
+def _plain(v):
+    """A value as a string that does not depend on the library it came from; missing ones, and NaN, are None."""
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    if isinstance(v, list | tuple):
+        return str([_plain(x) for x in v])
+    return None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
+
 def _rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else v.tolist() if hasattr(v, "tolist") else v
-    return list(df.columns), sorted(tuple(str(plain(v)) for v in row) for row in df.itertuples(index=False))
+    return list(df.columns), sorted((tuple(map(_plain, row)) for row in df.itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
