@@ -68,33 +68,46 @@ def blocking(resources: DataFrame) -> DataFrame:
 
 
 def usable_clusters(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(map_id, cluster, region): clusters with some resource of over 200 whose first resource lies in a region. members: map_id, id, cluster, tx, ty, amount; labels by tile."""
+    """(map_id, cluster, region): clusters with some resource of over 200 whose first resource lies in a region, by the label under its corner's walk cell; the top row of cells counts as the second.
+
+    members: map_id, id, cluster, tx, ty, amount; labels: map_id, x, y, label, by walk cell.
+    """
     per = members.groupBy("map_id", "cluster").agg(F.max("amount").alias("_most"), F.min(F.struct("id", "tx", "ty")).alias("_f")).where(F.col("_most") > LEAST_AMOUNT)
-    first = per.select("map_id", "cluster", F.col("_f.tx").alias("x"), F.greatest(F.col("_f.ty"), F.lit(1)).alias("y"))
+    first = per.select("map_id", "cluster", (F.col("_f.tx") * 4).alias("x"), F.greatest(F.col("_f.ty") * 4, F.lit(1)).alias("y"))
     return first.join(labels.where("label > 0"), ["map_id", "x", "y"]).select("map_id", "cluster", F.col("label").alias("region"))
 
 
-def influence(tiles: DataFrame, members: DataFrame) -> DataFrame:
-    """(map_id, cluster, x, y, score): for each resource, placeable tiles within 10 (the far side excluded) gain 200 less the squared gap between the 4 x 3 footprint and the resource, threefold for geysers; clusters score apart.
+def influence(tiles: DataFrame, members: DataFrame, usable: DataFrame, labels: DataFrame) -> DataFrame:
+    """(map_id, cluster, x, y, score): what each usable cluster adds to the tiles around. For each resource of over 200, the placeable tiles of the cluster's region from 10 before its first to 9 past its last tile gain 200 less the squared gap between the 4 x 3 footprint and the resource, threefold for geysers; footprints side by side have a gap of 1.
 
-    tiles: map_id, x, y, placeable; members: map_id, cluster, tx, ty, tw, th, type.
+    tiles: map_id, x, y, placeable; members: map_id, cluster, tx, ty, tw, th, type, amount; usable: map_id, cluster, region; labels by walk cell, of which a tile has that of its top-left one.
     """
-    xs = members.select("*", F.explode(F.sequence(F.col("tx") - RADIUS, F.col("tx") + F.col("tw") + RADIUS - 1)).alias("x"))
-    cells = xs.select("*", F.explode(F.sequence(F.col("ty") - RADIUS, F.col("ty") + F.col("th") + RADIUS - 1)).alias("y"))
-    gap = lambda a, size, b, other: F.greatest(F.lit(0), F.col(b) - F.col(a) - size, F.col(a) - F.col(b) - F.col(other))
+    rich = members.where(F.col("amount") > LEAST_AMOUNT).join(usable, ["map_id", "cluster"])
+    xs = rich.select("*", F.explode(F.sequence(F.col("tx") - RADIUS, F.col("tx") + F.col("tw") + RADIUS - 2)).alias("x"))
+    cells = xs.select("*", F.explode(F.sequence(F.col("ty") - RADIUS, F.col("ty") + F.col("th") + RADIUS - 2)).alias("y"))
+    gap = lambda a, size, b, other: F.greatest(F.lit(0), F.col(b) - F.col(a) - size + 1, F.col(a) - F.col(b) - F.col(other) + 1)
     dx, dy = gap("x", 4, "tx", "tw"), gap("y", 3, "ty", "th")
     gain = (200 - (dx * dx + dy * dy)) * F.when(F.col("type") == "geyser", 3).otherwise(1)
-    return cells.join(tiles.where("placeable").select("map_id", "x", "y"), ["map_id", "x", "y"]).groupBy("map_id", "cluster", "x", "y").agg(F.sum(gain).alias("score"))
-
-
-def best_tiles(scores: DataFrame) -> DataFrame:
-    """(map_id, cluster, tx, ty, score): the largest positive score; ties to the first tile, x first."""
+    corner = (F.col("x") % 4 == 0) & (F.col("y") % 4 == 0)
+    regions = labels.where(corner).select("map_id", (F.col("x") / 4).cast("int").alias("x"), (F.col("y") / 4).cast("int").alias("y"), F.col("label").alias("region"))
+    open_ = tiles.where("placeable").select("map_id", "x", "y").join(regions, ["map_id", "x", "y"])
+    return cells.join(open_, ["map_id", "x", "y", "region"]).groupBy("map_id", "cluster", "x", "y").agg(F.sum(gain).alias("score"))
+
+
+def best_tiles(scores: DataFrame, members: DataFrame, usable: DataFrame) -> DataFrame:
+    """(map_id, cluster, tx, ty, score): of the box that a usable cluster's resources reach, the tile whose scores, of this cluster and those before it, add up to most; ties to the first tile, x first. Clusters without a positive one have none."""
+    rich = members.where(F.col("amount") > LEAST_AMOUNT).join(usable, ["map_id", "cluster"])
+    reach = lambda c, size: (F.min(c) - RADIUS, F.max(F.col(c) + F.col(size)) + RADIUS - 2)
+    (x1, x2), (y1, y2) = reach("tx", "tw"), reach("ty", "th")
+    boxes = rich.groupBy("map_id", "cluster").agg(F.greatest(x1, F.lit(0)).alias("x1"), x2.alias("x2"), F.greatest(y1, F.lit(0)).alias("y1"), y2.alias("y2"))
+    cells = boxes.select("map_id", "cluster", F.explode(F.sequence("x1", "x2")).alias("x"), "y1", "y2").select("map_id", "cluster", "x", F.explode(F.sequence("y1", "y2")).alias("y"))
+    summed = cells.join(scores.withColumnRenamed("cluster", "_from"), ["map_id", "x", "y"]).where("_from <= cluster").groupBy("map_id", "cluster", "x", "y").agg(F.sum("score").alias("score"))
     order = Window.partitionBy("map_id", "cluster").orderBy(F.desc("score"), "x", "y")
-    return scores.where("score > 0").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("map_id", "cluster", F.col("x").alias("tx"), F.col("y").alias("ty"), "score")
+    return summed.where("score > 0").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("map_id", "cluster", F.col("x").alias("tx"), F.col("y").alias("ty"), "score")
 
 
 def merge_near(best: DataFrame, scores: DataFrame) -> DataFrame:
-    """(map_id, cluster, tx, ty, into): in the order of clusters, one closer than 5 to an earlier base joins it, and that base moves to the best summed tile of the box of both, widened by 5."""
+    """(map_id, cluster, tx, ty, into): in the order of clusters, one closer than 5 to an earlier base joins it, and that base moves to the best tile, by all scores so far, of the box of both, widened by 5, the far sides excluded. A cluster that is the first of a base, where `into` is its own name, founds it."""
 
     def run(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         merged: list[list] = []
@@ -103,9 +116,11 @@ def merge_near(best: DataFrame, scores: DataFrame) -> DataFrame:
                 dx, dy = sorted((abs(base[1] - r.tx), abs(base[2] - r.ty)))
                 if dy + dx * 3 // 8 < MERGE:
                     base[3].append(r.cluster)
-                    box = cells[cells.cluster.isin(base[3]) & cells.x.between(min(base[1], r.tx) - 5, max(base[1], r.tx) + 5) & cells.y.between(min(base[2], r.ty) - 5, max(base[2], r.ty) + 5)]
+                    xs, ys = sorted((base[1], r.tx)), sorted((base[2], r.ty))
+                    box = cells[(cells.cluster <= r.cluster) & (cells.x >= xs[0] - 5) & (cells.x < xs[1] + 5) & (cells.y >= ys[0] - 5) & (cells.y < ys[1] + 5)]
                     total = box.groupby(["x", "y"], as_index=False).score.sum().sort_values(["score", "x", "y"], ascending=[False, True, True])
-                    base[1], base[2] = int(total.x.iloc[0]), int(total.y.iloc[0])
+                    if len(total) and total.score.iloc[0] > 0:
+                        base[1], base[2] = int(total.x.iloc[0]), int(total.y.iloc[0])
                     break
             else:
                 merged.append([r.cluster, r.tx, r.ty, [r.cluster]])
@@ -115,7 +130,7 @@ def merge_near(best: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def match_starts(bases: DataFrame, starts: DataFrame) -> DataFrame:
-    """(map_id, id, start): each base, in the order of ids, takes the first start not taken that is closer than 10; -1 for none."""
+    """(map_id, id, start): each base, in the order of ids, takes the first start not taken that is closer than 10 to the tile where it was founded (before others joined it); -1 for none."""
 
     def run(key, own: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
         free, rows = {int(s.start): (s.tx, s.ty) for s in all_.sort_values("start").itertuples()}, []

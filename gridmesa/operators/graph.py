@@ -19,6 +19,8 @@ from gridmesa.operators import kernels as k
 from gridmesa.operators.grid import KEY, dense, fresh
 
 LEAST_REGION, LEAF_SLACK, NODE_DISTANCE, DIFFERENCE = 9.7, 0.9, 7, 0.31
+#: Segments among which a chokepoint finds its sides.
+SEGMENTS = 10
 NONE, REGION, CHOKE = "none", "region", "choke"
 
 
@@ -64,9 +66,10 @@ def clearances(nodes: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def choke_sides(nodes: DataFrame, segments: DataFrame) -> DataFrame:
-    """(map_id, id, s1x, s1y, s2x, s2y): the projection on the nearest segment; then the first, by distance, on the opposite side in both axes, else the farthest."""
+    """(map_id, id, s1x, s1y, s2x, s2y): the projection on the nearest segment; then, among the SEGMENTS nearest, the first by distance on the opposite side in both axes, else the last."""
     by = Window.partitionBy("map_id", "id").orderBy("d2", "segment")
-    ranked = segment_distances(nodes, segments).withColumns({"k": F.row_number().over(by), "s1x": F.first("px").over(by), "s1y": F.first("py").over(by)})
+    near = segment_distances(nodes, segments).withColumn("k", F.row_number().over(by)).where(F.col("k") <= SEGMENTS)
+    ranked = near.withColumns({"s1x": F.first("px").over(by), "s1y": F.first("py").over(by)})
     opposite = (F.col("k") > 1) & ((F.col("px") - F.col("x")) * (F.col("s1x") - F.col("x")) <= 0) & ((F.col("py") - F.col("y")) * (F.col("s1y") - F.col("y")) <= 0)
     second = F.coalesce(F.min(F.when(opposite, F.struct("k", "px", "py"))), F.max(F.struct("k", "px", "py")))
     out = ranked.groupBy("map_id", "id").agg(F.first("s1x").alias("s1x"), F.first("s1y").alias("s1y"), second.alias("s"))
@@ -121,42 +124,75 @@ class Medial:
         return abs(a - b) > max(2.0, DIFFERENCE * max(a, b))
 
     def classify(self) -> None:
-        """From a leaf of every component (or its least node): junctions, ends and high maxima are regions, minima between them chokepoints, if they differ enough from the last marked node."""
-        seen: set[int] = set()
-        order = sorted(self.near, key=lambda i: (len(self.near[i]) != 1, i))
-        for root in order:
-            if root in seen:
+        """From the first leaf of every component (or its first node), depth first: every junction and end is a region; where two paths lead on, local minima are chokepoints and high local maxima regions, as far as they differ from, or lie apart from, the last one marked on the way, the anchor: its node, and whether it was marked as a region."""
+        anchor: dict[int, tuple[int, bool] | None] = {}
+        replaced: dict[int, int] = {}
+        for root in sorted(self.near, key=lambda i: (len(self.near[i]) != 1, i)):
+            if root in anchor:
                 continue
-            stack = [(root, None)]
+            anchor[root] = None
+            stack = [root]
             while stack:
-                i, parent = stack.pop()
-                if i in seen:
-                    continue
-                seen.add(i)
-                c, around = self.clearance[i], [self.clearance[j] for j in self.near[i]]
-                if len(self.near[i]) != 2:
-                    kind = REGION
-                elif c < min(around) or (c <= min(around) and c < max(around)):
-                    kind = CHOKE
-                elif c > max(around) and c >= LEAST_REGION:
-                    kind = REGION
-                else:
-                    kind = NONE
-                if kind != NONE and parent is not None:
-                    same, close = self.type[parent] == kind, self._apart(i, parent) < NODE_DISTANCE
-                    if same and kind == CHOKE:
-                        if c < self.clearance[parent]:
-                            self.type[parent] = NONE
-                        else:
-                            kind = NONE
-                    elif same and close and len(self.near[i]) == 2:
-                        kind = NONE
-                    elif not same and (close or not self._differs(i, parent)) and len(self.near[i]) == 2:
-                        kind = NONE
-                if kind != NONE:
-                    self.type[i] = kind
-                    parent = i
-                stack += [(j, parent) for j in sorted(self.near[i], reverse=True) if j not in seen]
+                i = stack.pop()
+                now = self._mark(i, anchor[i], replaced)
+                for j in sorted(self.near[i]):
+                    if j not in anchor:
+                        anchor[j] = now
+                        stack.append(j)
+                    else:
+                        self._settle(self._marked(i, anchor[i]), self._marked(j, anchor[j]), replaced)
+
+    def _marked(self, i: int, anchor: tuple[int, bool] | None) -> int | None:
+        return i if self.type[i] != NONE or anchor is None else anchor[0]
+
+    def _mark(self, i: int, anchor: tuple[int, bool] | None, replaced: dict[int, int]) -> tuple[int, bool] | None:
+        """Decides on one node, and gives the anchor of those after it."""
+        c, around = self.clearance[i], [self.clearance[j] for j in self.near[i]]
+        last, region = anchor or (None, True)
+        if len(around) != 2:
+            if last is not None and self.type[last] == CHOKE and self._apart(i, last) < NODE_DISTANCE:
+                self.type[last] = NONE
+            self.type[i] = REGION
+            # A larger region stays the anchor.
+            return (i, True) if last is None or self.type[last] == CHOKE or c > self.clearance[last] else anchor
+        if c <= min(around):
+            if not region:
+                better = c < self.clearance[last]
+                if better:
+                    self.type[last] = NONE
+                    replaced[i] = last
+            else:
+                gap = self._apart(i, last) if last is not None else 0
+                better = last is None or self._differs(i, last) or (gap >= NODE_DISTANCE and gap > self.clearance[last])
+            kind = CHOKE
+        elif c >= max(around) and c >= LEAST_REGION:
+            if not region:
+                better = self._differs(i, last)
+            else:
+                better = last is None or c > self.clearance[last]
+                if better and last is not None and len(self.near[last]) == 2:
+                    self.type[last] = NONE
+            kind = REGION
+        else:
+            return anchor
+        if not better:
+            return anchor
+        self.type[i] = kind
+        return i, kind == REGION
+
+    def _settle(self, a: int | None, b: int | None, replaced: dict[int, int]) -> None:
+        """Where two walked paths meet: a chokepoint too close to a region goes, and the one that it had replaced returns; of two chokepoints the wider goes."""
+        if a is None or b is None or a == b:
+            return
+        regions = [self.type[x] == REGION for x in (a, b)]
+        if regions[0] != regions[1]:
+            if self._apart(a, b) < NODE_DISTANCE:
+                gone = b if regions[0] else a
+                self.type[gone] = NONE
+                if gone in replaced:
+                    self.type[replaced[gone]] = CHOKE
+        elif not regions[0]:
+            self.type[b if self.clearance[a] < self.clearance[b] else a] = NONE
 
     def contract(self) -> None:
         """Only regions and chokepoints stay, joined through chains of other nodes."""
@@ -283,20 +319,30 @@ def region_adjacency(chokes: DataFrame) -> DataFrame:
     return symmetric(chokes.select("map_id", F.col("region_a").alias("a"), F.col("region_b").alias("b")).where("a != b"))
 
 
+def _spiral(x: int, y: int, turns: int):
+    """Cells of a square spiral, down first and then counter-clockwise on the screen (y grows downwards), whose sides have 1, 1, 2, 2, 3, 3 ... steps, up to sides of turns - 1."""
+    dx, dy = 0, 1
+    for side in range(1, turns):
+        for _ in range(2):
+            for _ in range(side):
+                yield x, y
+                x, y = x + dx, y + dy
+            dx, dy = dy, -dx
+
+
 def coverage_points(labels: DataFrame, opens: DataFrame, apart: int = 56) -> DataFrame:
-    """(map_id, label, k, x, y): from the open point outwards in a square spiral, each cell of the region over `apart` (dx + dy) from all chosen ones."""
+    """(map_id, label, k, x, y): the open point, then, outwards in a square spiral, each cell of the region over `apart` (dx + dy) from all chosen ones. The spiral ends when its sides would be as long, in cells, as the longer side of the region's box."""
 
     def run(key, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in own.itertuples():
             cells = pdf[pdf.label == r.label]
-            dx, dy = cells.x - r.open_x, cells.y - r.open_y
-            ring = np.maximum(dx.abs(), dy.abs())
-            turn = np.mod(np.arctan2(dy, dx), 2 * np.pi)
+            inside = set(zip(cells.x.tolist(), cells.y.tolist(), strict=True))
             chosen = [(int(r.open_x), int(r.open_y))]
-            for x, y in cells.assign(ring=ring, turn=turn).sort_values(["ring", "turn", "x", "y"])[["x", "y"]].itertuples(index=False):
-                if all(abs(x - a) + abs(y - b) > apart for a, b in chosen):
-                    chosen.append((int(x), int(y)))
+            longest = max(int(cells.x.max() - cells.x.min()), int(cells.y.max() - cells.y.min()))
+            for x, y in _spiral(*chosen[0], longest // 2 * 2):
+                if (x, y) in inside and all(abs(x - a) + abs(y - b) > apart for a, b in chosen):
+                    chosen.append((x, y))
             rows += [(key[0], int(r.label), i, x, y) for i, (x, y) in enumerate(chosen)]
         return pd.DataFrame(rows, columns=["map_id", "label", "k", "x", "y"])
 

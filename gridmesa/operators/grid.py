@@ -117,6 +117,13 @@ def stamp_buildings(cells: DataFrame, buildings: DataFrame, walk: str = "walk")
     return out.withColumns(columns).drop("_under", "_around")
 
 
+def stamp_tiles(tiles: DataFrame, buildings: DataFrame) -> DataFrame:
+    """walkable becomes false for every tile (map_id, tx, ty) that a building's rectangle of walk cells touches."""
+    quarter = lambda c: F.floor(F.col(c) / 4).cast("int")
+    under = building_cells(buildings).select("map_id", quarter("x").alias("tx"), quarter("y").alias("ty")).distinct().withColumn("_under", F.lit(True))
+    return tiles.join(under, ["map_id", "tx", "ty"], "left").withColumn("walkable", F.col("walkable") & F.col("_under").isNull()).drop("_under")
+
+
 def prepared(cells: DataFrame, buildings: DataFrame) -> DataFrame:
     """All preparation in its fixed order."""
     walk = thicken_thin_walls(clearance_filter(cells))

@@ -29,7 +29,7 @@ def topmost(starts: DataFrame) -> DataFrame:
 
 
 def classified_tiles(tiles: DataFrame, walk: DataFrame, chokes: DataFrame) -> DataFrame:
-    """(map_id, choke, x, y, kind): tiles near each chokepoint (map_id, id, tx, ty, home): 'build' within 10, at home and buildable; 'outside' within 10, not at home and with four walkable centre cells; 'walk' within 14 otherwise if those cells are.
+    """(map_id, choke, x, y, kind): tiles near each chokepoint (map_id, id, tx, ty, home): 'build' within 10, at home and buildable; 'outside' within 10, not at home and with four walkable centre cells; 'walk' within 14 with such cells. A tile may be of several kinds, and has a row for each.
 
     tiles: map_id, x, y, buildable, region; walk: map_id, x, y, walkable, by walk cell.
     """
@@ -39,8 +39,8 @@ def classified_tiles(tiles: DataFrame, walk: DataFrame, chokes: DataFrame) -> Da
     joined = near.join(tiles, ["map_id", "x", "y"]).join(inner, ["map_id", "x", "y"], "left")
     close = (F.abs(F.col("x") - F.col("tx")) <= 10) & (F.abs(F.col("y") - F.col("ty")) <= 10)
     home = F.col("region") == F.col("home")
-    kind = F.when(close & home & F.col("buildable"), "build").when(close & ~home & F.col("open"), "outside").when(F.col("open"), "walk")
-    return joined.select("map_id", "choke", "x", "y", kind.alias("kind")).where("kind IS NOT NULL")
+    kinds = F.array(F.when(close & home & F.col("buildable"), "build"), F.when(close & ~home & F.col("open"), "outside"), F.when(F.col("open"), "walk"))
+    return joined.select("map_id", "choke", "x", "y", F.explode(F.array_compact(kinds)).alias("kind"))
 
 
 def extreme_tile(tiles: DataFrame, x: Column, y: Column, farthest: bool = False) -> DataFrame:
@@ -73,12 +73,16 @@ def choke_radius(chokes: DataFrame) -> DataFrame:
     return chokes.select("map_id", "id", (F.floor(F.col("width") / 32) * F.when(F.col("buildable"), 1).otherwise(3)).cast("int").alias("radius"))
 
 
-def choke_grid(chokes: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(map_id, choke, dx, dy, value): the square around each chokepoint (map_id, id, tx, ty, radius): walkable plus buildable, 4 outside the map."""
+def choke_grid(chokes: DataFrame, tiles: DataFrame, walk: DataFrame) -> DataFrame:
+    """(map_id, choke, dx, dy, value): the square around each chokepoint (map_id, id, tx, ty, radius): walkable, by the tile's top-left walk cell, plus buildable; 4 outside the map.
+
+    tiles: map_id, x, y, buildable; walk: map_id, x, y, walkable, by walk cell.
+    """
     xs = chokes.select("map_id", F.col("id").alias("choke"), "tx", "ty", "radius", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dx"))
     cells = xs.select("*", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dy")).withColumns({"x": F.col("tx") + F.col("dx"), "y": F.col("ty") + F.col("dy")})
-    value = F.coalesce(F.col("walkable").cast("int") + F.col("buildable").cast("int"), F.lit(4))
-    return cells.join(tiles, ["map_id", "x", "y"], "left").select("map_id", "choke", "dx", "dy", value.alias("value"))
+    corner = walk.where((F.col("x") % 4 == 0) & (F.col("y") % 4 == 0)).select("map_id", (F.col("x") / 4).cast("int").alias("x"), (F.col("y") / 4).cast("int").alias("y"), "walkable")
+    known = tiles.join(corner, ["map_id", "x", "y"]).select("map_id", "x", "y", (F.col("walkable").cast("int") + F.col("buildable").cast("int")).alias("_v"))
+    return cells.join(known, ["map_id", "x", "y"], "left").select("map_id", "choke", "dx", "dy", F.coalesce("_v", F.lit(4)).alias("value"))
 
 
 def bresenham(x0: int, y0: int, x1: int, y1: int):

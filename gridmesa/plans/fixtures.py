@@ -39,17 +39,29 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUILDINGS_SQL = "buildings AS (SELECT CAST(n_nationkey AS INTEGER) AS id, CAST((n_nationkey * 37) % 64 * 8 AS INTEGER) AS px, CAST((n_nationkey * 53) % 64 * 8 AS INTEGER) AS py, CAST(1 + n_nationkey % 3 AS INTEGER) AS tw, CAST(1 + n_nationkey % 2 AS INTEGER) AS th FROM nation)"
 
 
+#: Resources on one map.
+PER_MAP = 120
+
+
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 120 resources in twelve groups over a 64 x 64 tile map."""
-    p, k, j = F.col("p_partkey"), F.col("p_partkey") % 12, F.floor(F.col("p_partkey") / 12)
+    """Every part as a resource: 120 to a map, in twelve groups over 64 x 64 tiles; ids are unique over all maps."""
+    p = F.col("p_partkey")
+    k, j = p % 12, F.floor(p % PER_MAP / 12)
     kind = F.when(j % 8 == 0, "geyser").otherwise("mineral")
     tx, ty = (k % 4 * 15 + 3 + F.col("p_size") % 6), (F.floor(k / 4) * 19 + 5 + j % 6)
-    return read(spark, sf_dir, "part").where(p < 120).select(F.lit(MAP).alias("map_id"), p.cast("int").alias("id"), tx.cast("int").alias("tx"), ty.cast("int").alias("ty"), kind.alias("type"), (100 + F.col("p_size") * 30).cast("int").alias("amount"), F.when(kind == "geyser", 4).otherwise(2).cast("int").alias("tw"), F.when(kind == "geyser", 2).otherwise(1).cast("int").alias("th"))
+    own = F.concat(F.lit("m"), F.floor(p / PER_MAP).cast("string")).alias("map_id")
+    return read(spark, sf_dir, "part").select(own, p.cast("int").alias("id"), tx.cast("int").alias("tx"), ty.cast("int").alias("ty"), kind.alias("type"), (100 + F.col("p_size") * 30).cast("int").alias("amount"), F.when(kind == "geyser", 4).otherwise(2).cast("int").alias("tw"), F.when(kind == "geyser", 2).otherwise(1).cast("int").alias("th"))
 
 
-RESOURCES_SQL = """resources AS (SELECT CAST(p_partkey AS INTEGER) AS id, CAST(k % 4 * 15 + 3 + p_size % 6 AS INTEGER) AS tx, CAST(k // 4 * 19 + 5 + j % 6 AS INTEGER) AS ty,
+RESOURCES_SQL = """resources AS (SELECT 'm' || p_partkey // 120 AS map_id, CAST(p_partkey AS INTEGER) AS id, CAST(k % 4 * 15 + 3 + p_size % 6 AS INTEGER) AS tx, CAST(k // 4 * 19 + 5 + j % 6 AS INTEGER) AS ty,
   CASE WHEN j % 8 = 0 THEN 'geyser' ELSE 'mineral' END AS type, CAST(100 + p_size * 30 AS INTEGER) AS amount, CASE WHEN j % 8 = 0 THEN 4 ELSE 2 END AS tw, CASE WHEN j % 8 = 0 THEN 2 ELSE 1 END AS th
-  FROM (SELECT p_partkey, p_size, p_partkey % 12 AS k, p_partkey // 12 AS j FROM part WHERE p_partkey < 120))"""
+  FROM (SELECT p_partkey, p_size, p_partkey % 12 AS k, p_partkey % 120 // 12 AS j FROM part)), maps AS (SELECT DISTINCT map_id FROM resources)"""
+
+
+def on_every_map(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    """The same terrain (map_id ignored) on every map that has resources."""
+    maps = resources(spark, sf_dir).select("map_id").distinct().withColumn("_one", F.lit(1))
+    return cells.drop("map_id").withColumn("_one", F.lit(1)).join(maps, "_one").drop("_one").select("map_id", *[c for c in cells.columns if c != "map_id"])
 
 
 def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,18 +85,18 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(map_id, label, ring): an octagon per part with a radius from its size, about (32, 32)."""
     radius = F.col("p_size") % 23 + 9
     corner = lambda i, dx, dy: F.struct((F.lit(32) + F.floor((radius + (F.col("p_partkey") * (i + 3)) % 5) * dx / 10)).cast("int").alias("x"), (F.lit(32) + F.floor((radius + (F.col("p_partkey") * (i + 3)) % 5) * dy / 10)).cast("int").alias("y"))
-    return read(spark, sf_dir, "part").where("p_partkey < 200").select(F.lit(MAP).alias("map_id"), F.col("p_partkey").cast("int").alias("label"), F.array(*[corner(i, dx, dy) for i, (dx, dy) in enumerate(CORNERS)]).alias("ring"))
+    return read(spark, sf_dir, "part").select(F.lit(MAP).alias("map_id"), F.col("p_partkey").cast("int").alias("label"), F.array(*[corner(i, dx, dy) for i, (dx, dy) in enumerate(CORNERS)]).alias("ring"))
 
 
 RINGS_SQL = """corners AS (SELECT * FROM (VALUES {rows}) t(i, dx, dy)),
 points AS (SELECT CAST(p_partkey AS INTEGER) AS label, CAST(i AS INTEGER) AS i, CAST(32 + floor((p_size % 23 + 9 + (p_partkey * (i + 3)) % 5) * dx / 10) AS INTEGER) AS x, CAST(32 + floor((p_size % 23 + 9 + (p_partkey * (i + 3)) % 5) * dy / 10) AS INTEGER) AS y
-  FROM part CROSS JOIN corners WHERE p_partkey < 200),
+  FROM part CROSS JOIN corners),
 segments AS (SELECT label, i, x, y, COALESCE(lead(x) OVER w, first_value(x) OVER w) AS x2, COALESCE(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM points WINDOW w AS (PARTITION BY label ORDER BY i))""".format(rows=", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate(CORNERS)))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query cells: the distinct (user, event) remainders of the first 2000 events."""
-    return read(spark, sf_dir, "events").where("event_id < 2000").select(F.lit(MAP).alias("map_id"), (F.col("user_id") % 64).cast("int").alias("x"), (F.col("event_id") % 64).cast("int").alias("y")).distinct()
+    """Query cells: the distinct (user, event) remainders of all events."""
+    return read(spark, sf_dir, "events").select(F.lit(MAP).alias("map_id"), (F.col("user_id") % 64).cast("int").alias("x"), (F.col("event_id") % 64).cast("int").alias("y")).distinct()
 
 
-POINTS_SQL = "points_q AS (SELECT DISTINCT CAST(user_id % 64 AS INTEGER) AS x, CAST(event_id % 64 AS INTEGER) AS y FROM events WHERE event_id < 2000)"
+POINTS_SQL = "points_q AS (SELECT DISTINCT CAST(user_id % 64 AS INTEGER) AS x, CAST(event_id % 64 AS INTEGER) AS y FROM events)"

@@ -11,14 +11,20 @@ from gridmesa.plans.register import Register
 
 REGISTER = Register()
 _RES = f"WITH RECURSIVE {fx.CELLS_SQL}, {fx.RESOURCES_SQL}"
-_NEAR = "near AS (SELECT p.id AS a, q.id AS b FROM resources p JOIN resources q ON greatest(abs(p.tx - q.tx), abs(p.ty - q.ty)) + least(abs(p.tx - q.tx), abs(p.ty - q.ty)) * 3 // 8 <= 8)"
+_NEAR = "near AS (SELECT p.id AS a, q.id AS b FROM resources p JOIN resources q ON p.map_id = q.map_id AND greatest(abs(p.tx - q.tx), abs(p.ty - q.ty)) + least(abs(p.tx - q.tx), abs(p.ty - q.ty)) * 3 // 8 <= 8)"
 _CLUSTERS = f"""{_NEAR}, core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3), cc(a, b) AS (SELECT a, a FROM core UNION SELECT c.a, n.b FROM cc c JOIN near n ON n.a = c.b JOIN core k ON k.a = n.b),
 named AS (SELECT a AS id, min(b) AS cluster FROM cc GROUP BY a), clusters AS (SELECT id, cluster FROM named UNION ALL SELECT n.b, min(k.cluster) FROM near n JOIN named k ON k.id = n.a WHERE n.b NOT IN (SELECT a FROM core) GROUP BY n.b)"""
 _PLACE = """fits AS (SELECT c.x, c.y, bool_and(n.raw) AND count(*) = 12 AS placeable FROM cells c JOIN cells n ON n.x BETWEEN c.x AND c.x + 3 AND n.y BETWEEN c.y AND c.y + 2 GROUP BY c.x, c.y),
-free AS (SELECT f.x, f.y, f.placeable AND NOT EXISTS (SELECT 1 FROM resources r WHERE amount > 200 AND f.x BETWEEN tx - 6 AND tx + tw + 2 AND f.y BETWEEN ty - 5 AND ty + th + 2) AS placeable FROM fits f)"""
-_SCORES = """members AS (SELECT r.*, cluster FROM resources r JOIN clusters USING (id)), gaps AS (SELECT cluster, x, y, type, greatest(0, tx - x - 4, x - tx - tw) AS dx, greatest(0, ty - y - 3, y - ty - th) AS dy FROM free JOIN members ON placeable AND x BETWEEN tx - 10 AND tx + tw + 9 AND y BETWEEN ty - 10 AND ty + th + 9),
-scores AS (SELECT cluster, x, y, CAST(sum((200 - (dx * dx + dy * dy)) * CASE WHEN type = 'geyser' THEN 3 ELSE 1 END) AS BIGINT) AS score FROM gaps GROUP BY 1, 2, 3)"""
-_BEST = "best AS (SELECT cluster, x AS tx, y AS ty, score FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, x, y) = 1)"
+barred AS (SELECT DISTINCT map_id, x, CAST(unnest(range(ty - 5, ty + th + 3)) AS INTEGER) AS y FROM (SELECT map_id, CAST(unnest(range(tx - 6, tx + tw + 3)) AS INTEGER) AS x, ty, th FROM resources WHERE amount > 200)),
+free AS (SELECT m.map_id, f.x, f.y, f.placeable AND b.x IS NULL AS placeable FROM fits f CROSS JOIN maps m LEFT JOIN barred b ON b.map_id = m.map_id AND b.x = f.x AND b.y = f.y)"""
+#: A tile's label is that of the 64 x 64 fixture's cell of the same place.
+_USABLE = f"""{qg._REGIONS}, members AS (SELECT r.*, cluster FROM resources r JOIN clusters USING (id)), firsts AS (SELECT map_id, cluster, max(amount) AS most, min(id) AS id FROM members GROUP BY 1, 2),
+usable AS (SELECT f.map_id, f.cluster, label AS region FROM firsts f JOIN members m ON m.id = f.id JOIN regions ON x = tx AND y = ty WHERE most > 200 AND label > 0), rich AS (SELECT m.*, region FROM members m JOIN usable USING (map_id, cluster) WHERE amount > 200)"""
+_SCORES = """gaps AS (SELECT r.map_id, cluster, x, y, type, greatest(0, tx - x - 3, x - tx - tw + 1) AS dx, greatest(0, ty - y - 2, y - ty - th + 1) AS dy FROM free JOIN regions USING (x, y) JOIN rich r ON placeable AND r.map_id = free.map_id AND region = label AND x >= tx - 10 AND x < tx + tw - 1 + 10 AND y >= ty - 10 AND y < ty + th - 1 + 10),
+scores AS (SELECT map_id, cluster, x, y, CAST(sum((200 - (dx * dx + dy * dy)) * CASE WHEN type = 'geyser' THEN 3 ELSE 1 END) AS BIGINT) AS score FROM gaps GROUP BY 1, 2, 3, 4)"""
+_BEST = """boxes AS (SELECT map_id, cluster, min(tx) - 10 AS x1, max(tx + tw - 1) + 10 AS x2, min(ty) - 10 AS y1, max(ty + th - 1) + 10 AS y2 FROM rich GROUP BY 1, 2),
+sums AS (SELECT map_id, b.cluster, x, y, CAST(sum(score) AS BIGINT) AS score FROM boxes b JOIN scores s USING (map_id) WHERE s.cluster <= b.cluster AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY 1, 2, 3, 4),
+best AS (SELECT map_id, cluster, x AS tx, y AS ty, score FROM sums WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY map_id, cluster ORDER BY score DESC, x, y) = 1)"""
 
 
 def _members(spark, sf):
@@ -27,20 +33,30 @@ def _members(spark, sf):
 
 
 def _tiles(spark, sf):
-    return bases.exclusion(grid.placeable(fx.walk_cells(spark, sf), "raw"), fx.resources(spark, sf))
+    return bases.exclusion(fx.on_every_map(spark, sf, grid.placeable(fx.walk_cells(spark, sf), "raw")), fx.resources(spark, sf))
+
+
+def _labels(spark, sf):
+    """Labels by walk cell, of the corners of tiles (and the cell below, on the top row)."""
+    tiles = fx.on_every_map(spark, sf, qg._regions(spark, sf))
+    rows = F.explode(F.when(F.col("y") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("y") * 4)))
+    return tiles.select("map_id", (F.col("x") * 4).alias("x"), rows.alias("y"), "label")
 
 
 def _scores(spark, sf):
-    return bases.influence(_tiles(spark, sf), _members(spark, sf))
+    """(scores, members, usable)."""
+    members, labels = _members(spark, sf), _labels(spark, sf)
+    usable = bases.usable_clusters(members, labels)
+    return bases.influence(_tiles(spark, sf), members, usable, labels), members, usable
 
 
 def _bases(spark, sf):
-    """Twelve bases on walkable and other tiles of the fixture."""
+    """A base for each nation, on walkable and other tiles of the fixture."""
     n = F.col("n_nationkey")
-    return fx.read(spark, sf, "nation").where(n < 12).select(F.lit(fx.MAP).alias("map_id"), n.cast("int").alias("id"), (n * 37 % 12).cast("int").alias("tx"), (n * 53 % 13).cast("int").alias("ty"))
+    return fx.read(spark, sf, "nation").select(F.lit(fx.MAP).alias("map_id"), n.cast("int").alias("id"), (n * 37 % 12).cast("int").alias("tx"), (n * 53 % 13).cast("int").alias("ty"))
 
 
-_BASES = "bases AS (SELECT CAST(n_nationkey AS INTEGER) AS id, CAST(n_nationkey * 37 % 12 AS INTEGER) AS tx, CAST(n_nationkey * 53 % 13 AS INTEGER) AS ty FROM nation WHERE n_nationkey < 12)"
+_BASES = "bases AS (SELECT CAST(n_nationkey AS INTEGER) AS id, CAST(n_nationkey * 37 % 12 AS INTEGER) AS tx, CAST(n_nationkey * 53 % 13 AS INTEGER) AS ty FROM nation)"
 
 
 @REGISTER("o65_neighbours", f"{_RES}, {_NEAR} SELECT a, b FROM near")
@@ -53,9 +69,9 @@ def o66(spark, sf):
     return bases.clusters(fx.resources(spark, sf)).drop("map_id")
 
 
-@REGISTER("o68_resource_exclusion", f"{_RES}, {_PLACE} SELECT x, y, placeable FROM free")
+@REGISTER("o68_resource_exclusion", f"{_RES}, {_PLACE} SELECT map_id, x, y, placeable FROM free")
 def o68(spark, sf):
-    return _tiles(spark, sf).select("x", "y", "placeable")
+    return _tiles(spark, sf).select("map_id", "x", "y", "placeable")
 
 
 @REGISTER("o68_blocking", f"{_RES} SELECT id, amount <= 200 AS is_blocking FROM resources")
@@ -63,25 +79,25 @@ def o68b(spark, sf):
     return bases.blocking(fx.resources(spark, sf)).drop("map_id")
 
 
-@REGISTER("o69_usable_clusters", f"{_RES}, {_CLUSTERS}, {qg._REGIONS}, m AS (SELECT r.*, cluster FROM resources r JOIN clusters USING (id)), f AS (SELECT cluster, max(amount) AS most, min(id) AS id FROM m GROUP BY cluster) SELECT f.cluster, label AS region FROM f JOIN m ON m.id = f.id JOIN regions ON x = tx AND y = greatest(ty, 1) WHERE most > 200 AND label > 0")
+@REGISTER("o69_usable_clusters", f"{_RES}, {_CLUSTERS}, {_USABLE} SELECT map_id, cluster, region FROM usable")
 def o69(spark, sf):
-    return bases.usable_clusters(_members(spark, sf), qg._regions(spark, sf)).drop("map_id")
+    return bases.usable_clusters(_members(spark, sf), _labels(spark, sf))
 
 
-@REGISTER("o70_influence", f"{_RES}, {_CLUSTERS}, {_PLACE}, {_SCORES} SELECT cluster, x, y, score FROM scores")
+@REGISTER("o70_influence", f"{_RES}, {_CLUSTERS}, {_PLACE}, {_USABLE}, {_SCORES} SELECT map_id, cluster, x, y, score FROM scores")
 def o70(spark, sf):
-    return _scores(spark, sf).drop("map_id")
+    return _scores(spark, sf)[0]
 
 
-@REGISTER("o71_best_tile", f"{_RES}, {_CLUSTERS}, {_PLACE}, {_SCORES}, {_BEST} SELECT cluster, tx, ty, score FROM best")
+@REGISTER("o71_best_tile", f"{_RES}, {_CLUSTERS}, {_PLACE}, {_USABLE}, {_SCORES}, {_BEST} SELECT map_id, cluster, tx, ty, score FROM best")
 def o71(spark, sf):
-    return bases.best_tiles(_scores(spark, sf)).drop("map_id")
+    return bases.best_tiles(*_scores(spark, sf))
 
 
 @REGISTER("o72_merge_near_bases")
 def o72(spark, sf):
-    scores = _scores(spark, sf)
-    return bases.merge_near(bases.best_tiles(scores), scores).drop("map_id")
+    scores, members, usable = _scores(spark, sf)
+    return bases.merge_near(bases.best_tiles(scores, members, usable), scores)
 
 
 @REGISTER("o73_match_starts")
@@ -98,22 +114,23 @@ def _small(spark, sf):
     return fx.resources(spark, sf).withColumns({"tx": F.floor(F.col("tx") / 4).cast("int"), "ty": F.floor(F.col("ty") / 4).cast("int")})
 
 
-def _one(spark):
-    return spark.createDataFrame([(fx.MAP, 1, 4, 5)], "map_id string, id int, tx int, ty int")
+def _attached(spark, sf):
+    """Resources near one base on every map."""
+    one = fx.resources(spark, sf).select("map_id").distinct().select("map_id", F.lit(1).alias("id"), F.lit(4).alias("tx"), F.lit(5).alias("ty"))
+    return bases.attached(one, _small(spark, sf), fx.on_every_map(spark, sf, fx.walk_cells(spark, sf)))
 
 
-_ATTACHED = f"{_RES}, {_BOX}, small AS (SELECT id, type, amount, tx // 4 AS tx, ty // 4 AS ty FROM resources), attached AS (SELECT 1 AS base, id, type, amount, c // 16777216 AS dist FROM small JOIN area ON x = tx * 4 + CASE WHEN type = 'geyser' THEN 8 ELSE 4 END AND y = ty * 4 + CASE WHEN type = 'geyser' THEN 4 ELSE 2 END)"
+_ATTACHED = f"{_RES}, {_BOX}, small AS (SELECT map_id, id, type, amount, tx // 4 AS tx, ty // 4 AS ty FROM resources), attached AS (SELECT map_id, 1 AS base, id, type, amount, c // 16777216 AS dist FROM small JOIN area ON x = tx * 4 + CASE WHEN type = 'geyser' THEN 8 ELSE 4 END AND y = ty * 4 + CASE WHEN type = 'geyser' THEN 4 ELSE 2 END)"
 
 
-@REGISTER("o74_attach_resources", f"{_ATTACHED} SELECT base, id, dist FROM attached")
+@REGISTER("o74_attach_resources", f"{_ATTACHED} SELECT map_id, base, id, dist FROM attached")
 def o74(spark, sf):
-    return bases.attached(_one(spark), _small(spark, sf), fx.walk_cells(spark, sf)).drop("map_id")
+    return _attached(spark, sf)
 
 
-@REGISTER("o76_base_measures", f"{_ATTACHED} SELECT base, CAST(sum(amount) FILTER (type = 'mineral') AS BIGINT) AS minerals, CAST(COALESCE(sum(amount) FILTER (type = 'geyser'), 0) AS BIGINT) AS gas, count(*) FILTER (type = 'geyser') = 0 AS mineral_only FROM attached GROUP BY base")
+@REGISTER("o76_base_measures", f"{_ATTACHED} SELECT map_id, base, CAST(COALESCE(sum(amount) FILTER (type = 'mineral'), 0) AS BIGINT) AS minerals, CAST(COALESCE(sum(amount) FILTER (type = 'geyser'), 0) AS BIGINT) AS gas, count(*) FILTER (type = 'geyser') = 0 AS mineral_only FROM attached GROUP BY map_id, base")
 def o76(spark, sf):
-    small = _small(spark, sf)
-    return bases.measures(bases.attached(_one(spark), small, fx.walk_cells(spark, sf)), small).drop("map_id")
+    return bases.measures(_attached(spark, sf), _small(spark, sf))
 
 
 def _pairs(spark, sf):
@@ -175,11 +192,11 @@ def b4(spark, sf):
     return balance.all_expansions(_pairs(spark, sf), _starts(spark, sf)).drop("map_id")
 
 
-@REGISTER("b5_choke_symmetry", """WITH e AS (SELECT p_partkey % 40 AS id, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_partkey % 40) AS n, p_size AS width, p_size * 7 % 31 AS dist FROM part WHERE p_partkey < 150),
+@REGISTER("b5_choke_symmetry", """WITH e AS (SELECT p_partkey % 40 AS id, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_partkey % 40) AS n, p_size AS width, p_size * 7 % 31 AS dist FROM part),
 d AS (SELECT a.id, (a.width - b.width) ** 2 AS w, (a.dist - b.dist) ** 2 AS d FROM e a JOIN e b ON a.id = b.id AND b.k = a.n - 1 - a.k WHERE a.k < a.n // 2)
 SELECT CAST(id AS INTEGER) AS id, round(sqrt(avg(w)), 6) AS width_rms, round(sqrt(avg(d)), 6) AS dist_rms FROM (SELECT DISTINCT id FROM e) LEFT JOIN d USING (id) GROUP BY id""")
 def b5(spark, sf):
-    p = fx.read(spark, sf, "part").where("p_partkey < 150")
+    p = fx.read(spark, sf, "part")
     choke = F.struct("p_partkey", F.col("p_size").cast("int").alias("width"), (F.col("p_size") * 7 % 31).cast("int").alias("dist"))
     return balance.choke_symmetry(p.groupBy(F.lit(fx.MAP).alias("map_id"), (F.col("p_partkey") % 40).cast("int").alias("id")).agg(F.array_sort(F.collect_list(choke)).alias("chokes"))).drop("map_id")
 
@@ -209,7 +226,8 @@ def _wall_tiles(spark, sf):
 
 _WALL_TILES = "tiles AS (SELECT CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, (gx + gy) % 3 <> 0 AS buildable, CASE WHEN gx < 8 THEN 1 ELSE 2 END AS region FROM range(16) t(gx) CROSS JOIN range(16) u(gy))"
 _KINDS = f"""WITH {fx.CELLS_SQL}, {_WALL_TILES}, inner_ AS (SELECT x // 4 AS x, y // 4 AS y, bool_and(raw) AS open FROM cells WHERE x % 4 IN (1, 2) AND y % 4 IN (1, 2) GROUP BY 1, 2),
-kinds AS (SELECT x, y, CASE WHEN abs(x - 8) <= 10 AND abs(y - 4) <= 10 AND region = 1 AND buildable THEN 'build' WHEN abs(x - 8) <= 10 AND abs(y - 4) <= 10 AND region <> 1 AND open THEN 'outside' WHEN open THEN 'walk' END AS kind FROM tiles JOIN inner_ USING (x, y) WHERE abs(x - 8) <= 14 AND abs(y - 4) <= 14)"""
+near AS (SELECT *, abs(x - 8) <= 10 AND abs(y - 4) <= 10 AS close FROM tiles JOIN inner_ USING (x, y) WHERE abs(x - 8) <= 14 AND abs(y - 4) <= 14),
+kinds AS (SELECT x, y, 'build' AS kind FROM near WHERE close AND region = 1 AND buildable UNION ALL SELECT x, y, 'outside' FROM near WHERE close AND region <> 1 AND open UNION ALL SELECT x, y, 'walk' FROM near WHERE open)"""
 
 
 def _kinds(spark, sf):
@@ -217,7 +235,7 @@ def _kinds(spark, sf):
     return walls.classified_tiles(_wall_tiles(spark, sf), fx.walk_cells(spark, sf).withColumnRenamed("raw", "walkable"), chokes)
 
 
-@REGISTER("t3_tile_classes", f"{_KINDS} SELECT x, y, kind FROM kinds WHERE kind IS NOT NULL")
+@REGISTER("t3_tile_classes", f"{_KINDS} SELECT x, y, kind FROM kinds")
 def t3(spark, sf):
     return _kinds(spark, sf).select("x", "y", "kind")
 
@@ -241,7 +259,7 @@ def t5(spark, sf):
 GAPS = {"barracks": (16, 7, 8, 15), "supply": (10, 9, 10, 5)}
 
 
-@REGISTER("t6_solver_program", f"{_KINDS} SELECT kind || 'Tile(' || x || ', ' || y || ').' AS line FROM kinds WHERE kind IS NOT NULL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{s}Gap({kind}, {v}).')" for kind, own in GAPS.items() for s, v in zip(("left", "right", "top", "bottom"), own, strict=True)) + ") t(line)")
+@REGISTER("t6_solver_program", f"{_KINDS} SELECT kind || 'Tile(' || x || ', ' || y || ').' AS line FROM kinds UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{s}Gap({kind}, {v}).')" for kind, own in GAPS.items() for s, v in zip(("left", "right", "top", "bottom"), own, strict=True)) + ") t(line)")
 def t6(spark, sf):
     return walls.solver_program(_kinds(spark, sf), GAPS).select("line")
 
@@ -266,13 +284,12 @@ def t9(spark, sf):
     return walls.choke_radius(_placed(spark, sf)).drop("map_id")
 
 
-_GRID = f"WITH {fx.CELLS_SQL}, {_WALL_TILES}, {_RADIUS}, walk AS (SELECT x // 4 AS x, y // 4 AS y, bool_and(raw) AS walkable FROM cells GROUP BY 1, 2)"
+_GRID = f"WITH {fx.CELLS_SQL}, {_WALL_TILES}, {_RADIUS}, walk AS (SELECT x // 4 AS x, y // 4 AS y, raw AS walkable FROM cells WHERE x % 4 = 0 AND y % 4 = 0)"
 
 
 def _grid(spark, sf):
     placed = _placed(spark, sf)
-    tiles = _wall_tiles(spark, sf).join(grid.tile_walkability(fx.walk_cells(spark, sf)).withColumnsRenamed({"tx": "x", "ty": "y"}), ["map_id", "x", "y"])
-    return walls.choke_grid(placed.join(walls.choke_radius(placed), ["map_id", "id"]), tiles)
+    return walls.choke_grid(placed.join(walls.choke_radius(placed), ["map_id", "id"]), _wall_tiles(spark, sf), fx.walk_cells(spark, sf).withColumnRenamed("raw", "walkable"))
 
 
 @REGISTER("t8_choke_grid", f"{_GRID} SELECT id AS choke, CAST(a.i - radius AS INTEGER) AS dx, CAST(b.i - radius AS INTEGER) AS dy, CAST(COALESCE(CAST(walkable AS INTEGER) + CAST(buildable AS INTEGER), 4) AS INTEGER) AS value FROM placed JOIN range(30) a(i) ON a.i <= 2 * radius JOIN range(30) b(i) ON b.i <= 2 * radius LEFT JOIN tiles t ON t.x = tx + a.i - radius AND t.y = ty + b.i - radius LEFT JOIN walk w ON w.x = t.x AND w.y = t.y")
@@ -304,7 +321,7 @@ def q21(spark, sf):
     """Rows of every result table of the whole analysis."""
     from gridmesa.plans.analysis import analyze
 
-    found = analyze(fx.walk_cells(spark, sf), fx.buildings(spark, sf), _small(spark, sf))
+    found = analyze(fx.walk_cells(spark, sf), fx.buildings(spark, sf), _small(spark, sf).withColumn("map_id", F.lit(fx.MAP)))
     rows = None
     for name, df in found.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("result"), "n")

@@ -54,12 +54,12 @@ def o20(spark, sf):
     return geo.validity(fx.rings(spark, sf)).select("label", "simple")
 
 
-@REGISTER("o21_scanline_fill", f"""{_R}, few AS (SELECT * FROM segments WHERE label % 20 = 1), cells AS (SELECT CAST(gx AS INTEGER) AS x0, CAST(gy AS INTEGER) AS y0 FROM range(80) t(gx) CROSS JOIN range(80) u(gy)),
+@REGISTER("o21_scanline_fill", f"""{_R}, boxes AS (SELECT label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM points GROUP BY label), columns_ AS (SELECT label, unnest(range(x1, x2 + 1)) AS x0, y1, y2 FROM boxes), cells AS (SELECT label, CAST(x0 AS INTEGER) AS x0, CAST(unnest(range(y1, y2 + 1)) AS INTEGER) AS y0 FROM columns_),
 tested AS (SELECT label, x0, y0, bool_or((x2 - x) * (y0 - y) = (y2 - y) * (x0 - x) AND x0 BETWEEN least(x, x2) AND greatest(x, x2) AND y0 BETWEEN least(y, y2) AND greatest(y, y2)) AS edge,
-  count(*) FILTER ((y > y0) <> (y2 > y0) AND x0 < (x2 - x) * (y0 - y) / (y2 - y)::DOUBLE + x) AS hits FROM cells CROSS JOIN few GROUP BY 1, 2, 3)
+  count(*) FILTER ((y > y0) <> (y2 > y0) AND x0 < (x2 - x) * (y0 - y) / (y2 - y)::DOUBLE + x) AS hits FROM cells JOIN segments USING (label) GROUP BY 1, 2, 3)
 SELECT label, x0 AS x, y0 AS y FROM tested WHERE edge OR hits % 2 = 1""")
 def o21(spark, sf):
-    return geo.filled(fx.rings(spark, sf).where("label % 20 = 1")).select("label", "x", "y")
+    return geo.filled(fx.rings(spark, sf)).select("label", "x", "y")
 
 
 @REGISTER("o22_bounding_box", f"{_R} SELECT label, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM points GROUP BY label")

@@ -69,12 +69,12 @@ WHERE {passable} AND {corner} AND {bound} AND (p.c IS NULL OR d.c + (m.cost + {e
 
 
 _CROSSING = "CASE WHEN f.raw AND NOT n.raw THEN 100000 ELSE 0 END"
-_SEEDS = "SELECT CAST(n_nationkey * 37 % 64 AS INTEGER) AS x, CAST(n_nationkey * 53 % 64 AS INTEGER) AS y, n_nationkey AS id FROM nation WHERE n_nationkey % 4 = 0"
+_SEEDS = "SELECT CAST(n_nationkey * 37 % 64 AS INTEGER) AS x, CAST(n_nationkey * 53 % 64 AS INTEGER) AS y, n_nationkey AS id FROM nation"
 
 
 def _seeds(spark, sf):
     n = F.col("n_nationkey")
-    return fx.read(spark, sf, "nation").where(n % 4 == 0).select(F.lit(fx.MAP).alias("map_id"), (n * 37 % 64).cast("int").alias("x"), (n * 53 % 64).cast("int").alias("y"), n.cast("int").alias("id"))
+    return fx.read(spark, sf, "nation").select(F.lit(fx.MAP).alias("map_id"), (n * 37 % 64).cast("int").alias("x"), (n * 53 % 64).cast("int").alias("y"), n.cast("int").alias("id"))
 
 
 def _nearest(spark, sf):
@@ -268,14 +268,14 @@ def o31(spark, sf):
     return graph.symmetric(edges).drop("map_id")
 
 
-_SEGMENTS = f"""WITH {fx.RINGS_SQL}, {_NODES}, u AS (SELECT n.id, n.x AS nx, n.y AS ny, s.label * 8 + s.i AS segment, s.x, s.y, s.x2, s.y2, CASE WHEN (x2 - s.x) ** 2 + (y2 - s.y) ** 2 = 0 THEN 0.0 ELSE ((n.x - s.x) * (x2 - s.x) + (n.y - s.y) * (y2 - s.y)) / ((x2 - s.x) ** 2 + (y2 - s.y) ** 2) END AS t FROM nodes n CROSS JOIN segments s WHERE s.label % 40 = 3),
+_SEGMENTS = f"""WITH {fx.RINGS_SQL}, {_NODES}, u AS (SELECT n.id, n.x AS nx, n.y AS ny, s.label * 8 + s.i AS segment, s.x, s.y, s.x2, s.y2, CASE WHEN (x2 - s.x) ** 2 + (y2 - s.y) ** 2 = 0 THEN 0.0 ELSE ((n.x - s.x) * (x2 - s.x) + (n.y - s.y) * (y2 - s.y)) / ((x2 - s.x) ** 2 + (y2 - s.y) ** 2) END AS t FROM nodes n CROSS JOIN segments s),
 d AS (SELECT id, nx, ny, segment, round((x + least(1.0, greatest(0.0, t)) * (x2 - x) - nx) ** 2 + (y + least(1.0, greatest(0.0, t)) * (y2 - y) - ny) ** 2, 6) AS d2, CAST(CASE WHEN t > 1 THEN x2 WHEN t > 0 THEN trunc(x + t * (x2 - x)) ELSE x END AS INTEGER) AS px, CAST(CASE WHEN t > 1 THEN y2 WHEN t > 0 THEN trunc(y + t * (y2 - y)) ELSE y END AS INTEGER) AS py FROM u)"""
 
 
 def _segments(spark, sf):
     from gridmesa.operators.geometry import edges
 
-    ring = fx.rings(spark, sf).where("label % 40 = 3").select("map_id", "label", F.posexplode(edges(F.col("ring"))).alias("i", "e"))
+    ring = fx.rings(spark, sf).select("map_id", "label", F.posexplode(edges(F.col("ring"))).alias("i", "e"))
     return ring.select("map_id", (F.col("label") * 8 + F.col("i")).alias("segment"), "e.*")
 
 
@@ -285,7 +285,7 @@ def o30(spark, sf):
 
 
 @REGISTER("o40_choke_sides", f"""{_SEGMENTS}, k AS (SELECT *, row_number() OVER w AS k, first_value(px) OVER w AS s1x, first_value(py) OVER w AS s1y FROM d WINDOW w AS (PARTITION BY id ORDER BY d2, segment)),
-o AS (SELECT *, k > 1 AND (px - nx) * (s1x - nx) <= 0 AND (py - ny) * (s1y - ny) <= 0 AS opposite FROM k)
+o AS (SELECT *, k > 1 AND (px - nx) * (s1x - nx) <= 0 AND (py - ny) * (s1y - ny) <= 0 AS opposite FROM k WHERE k <= 10)
 SELECT id, s1x, s1y, px AS s2x, py AS s2y FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN opposite THEN 0 ELSE 1 END, CASE WHEN opposite THEN k ELSE -k END) = 1""")
 def o40(spark, sf):
     return graph.choke_sides(_nodes(spark, sf), _segments(spark, sf)).drop("map_id")

@@ -104,6 +104,11 @@ def o9(spark, sf):
     return grid.prepared(fx.walk_cells(spark, sf), fx.buildings(spark, sf)).select("x", "y", "walk")
 
 
+@REGISTER("o9_stamp_tiles", f"{_CELLS}, {fx.BUILDINGS_SQL}, {_STAMP[: _STAMP.index('s9')]} tiles AS (SELECT x // 4 AS tx, y // 4 AS ty, bool_and(raw) AS walkable FROM cells GROUP BY 1, 2) SELECT tx, ty, walkable AND NOT EXISTS (SELECT 1 FROM boxes WHERE tx * 4 + 3 >= x1 AND tx * 4 <= x2 AND ty * 4 + 3 >= y1 AND ty * 4 <= y2) AS walkable FROM tiles")
+def o9_tiles(spark, sf):
+    return grid.stamp_tiles(grid.tile_walkability(fx.walk_cells(spark, sf)), fx.buildings(spark, sf)).drop("map_id")
+
+
 @REGISTER("o10_reset_results", _CELLS + " SELECT x, y, CAST(NULL AS INTEGER) AS region, CAST(NULL AS INTEGER) AS base, CAST(NULL AS INTEGER) AS choke, CAST(NULL AS INTEGER) AS obstacle, CAST(NULL AS INTEGER) AS tile_base, CAST(NULL AS INTEGER) AS tile_choke FROM cells")
 def o10(spark, sf):
     return grid.reset_results(fx.walk_cells(spark, sf)).drop("map_id")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from gridmesa.operators import grid
 from gridmesa.plans import fixtures as fx
 from gridmesa.plans.register import Register
-from gridmesa.sources import cache, chk
+from gridmesa.sources import archive, cache, chk
 
 REGISTER = Register()
 
@@ -20,7 +18,8 @@ def _le(value, width: int):
 
 
 def _joined(rows, order: str, digits):
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digits.alias("d")))), lambda r: r["d"]), "").alias("d"))
+    """One string of digits for each map."""
+    return rows.groupBy("map_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digits.alias("d")))), lambda r: r["d"]), "").alias("d"))
 
 
 def _section(name: str, digits):
@@ -28,26 +27,33 @@ def _section(name: str, digits):
 
 
 def files(spark, sf):
-    """One scenario of 16 x 16 tiles: dimensions, tileset, two unit sections, doodads, full and partial terrain."""
-    part = fx.read(spark, sf, "part").where("p_partkey BETWEEN 1 AND 100").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    """A scenario of 16 x 16 tiles for every hundred parts: dimensions, tileset, two unit sections, doodads, full and partial terrain."""
+    p = F.col("p_partkey")
+    part = fx.read(spark, sf, "part").select(F.concat(F.lit("f"), F.floor((p - 1) / 100).cast("string")).alias("map_id"), p.alias("k"), ((p - 1) % 100 + 1).alias("own"), F.col("p_size").alias("s"))
     k, s = F.col("k"), F.col("s")
     kind = F.when(k % 4 == 0, chk.GEYSER).when(k % 4 == 1, chk.MINERALS[0]).when(k % 4 == 2, chk.START).otherwise(7)
     unit = F.concat(_le(k, 4), _le(k % 16 * 32 + 64, 2), _le(s % 16 * 32 + 64, 2), _le(kind, 2), F.lit("00" * 10), _le(s * 30, 4), F.lit("00" * 12))
-    doodad = F.concat(_le(k, 2), _le(k * 5, 2), _le(s * 7, 2), F.lit("0000"), _le(F.when(s % 2 == 0, 4096).otherwise(15), 2))
-    tiles = spark.range(256).select(F.col("id").alias("k"), (F.col("id") * 37 % 4096).alias("s"))
-    rows = [
-        _joined(part.where("k <= 60"), "k", unit).select(_section("UNIT", F.col("d")).alias("u1")),
-        _joined(part.where("k > 60"), "k", unit).select(_section("UNIT", F.col("d")).alias("u2")),
-        _joined(part, "k", doodad).select(_section("THG2", F.col("d")).alias("g")),
-        _joined(tiles, "k", _le(s, 2)).select(_section("MTXM", F.col("d")).alias("t1")),
-        _joined(tiles.where("k < 50"), "k", _le(k + 1000, 2)).select(_section("MTXM", F.col("d")).alias("t2")),
+    doodad = F.concat(_le(k, 2), _le(k % 100 * 5, 2), _le(s * 7, 2), F.lit("0000"), _le(F.when(s % 2 == 0, 4096).otherwise(15), 2))
+    tiles = spark.range(256).select(F.lit("t").alias("map_id"), F.col("id").alias("k"), (F.col("id") * 37 % 4096).alias("s"))
+    own = [
+        _joined(part.where("own <= 60"), "k", unit).select("map_id", _section("UNIT", F.col("d")).alias("u1")),
+        _joined(part.where("own > 60"), "k", unit).select("map_id", _section("UNIT", F.col("d")).alias("u2")),
+        _joined(part, "k", doodad).select("map_id", _section("THG2", F.col("d")).alias("g")),
+    ]
+    # Terrain is the same in all files: one row.
+    same = [
+        _joined(tiles, "k", _le(s, 2)).select("map_id", _section("MTXM", F.col("d")).alias("t1")),
+        _joined(tiles.where("k < 50"), "k", _le(k + 1000, 2)).select("map_id", _section("MTXM", F.col("d")).alias("t2")),
     ]
-    out = rows[0].withColumn("one", F.lit(1))
-    for r in rows[1:]:
-        out = out.join(r.withColumn("one", F.lit(1)), "one")
+    out = own[0].join(own[1], "map_id").join(own[2], "map_id").withColumn("_t", F.lit("t"))
+    terrain = same[0].join(same[1], "map_id").withColumnRenamed("map_id", "_t")
     small = lambda name, digits: F.lit(name.encode().hex() + digits)
     content = F.unhex(F.concat(F.col("t2"), small("DIM ", "04000000" + "1000" + "1000"), small("ERA ", "02000000" + "0c00"), "u1", "t1", "g", "u2", "t2"))
-    return out.select(F.lit(fx.MAP).alias("map_id"), content.alias("content"))
+    return out.join(terrain, "_t").select("map_id", content.alias("content"))
+
+
+#: Maps with their files, of a hundred parts each.
+_MAPS = "maps AS (SELECT DISTINCT 'f' || (p_partkey - 1) // 100 AS map_id FROM part)"
 
 
 def _scanned(spark, sf):
@@ -57,44 +63,44 @@ def _scanned(spark, sf):
 _LIST = "SELECT * FROM (VALUES (0, 'MTXM', 100), (1, 'DIM ', 4), (2, 'ERA ', 2), (3, 'UNIT', 2160), (4, 'MTXM', 512), (5, 'THG2', 1000), (6, 'UNIT', 1440), (7, 'MTXM', 100)) t(seq, name, size)"
 
 
-@REGISTER("s4_chunk_scan", "SELECT seq, name, CAST(size AS INTEGER) AS bytes FROM (" + _LIST + ")")
+@REGISTER("s4_chunk_scan", f"WITH {_MAPS} SELECT map_id, seq, name, CAST(size AS INTEGER) AS bytes FROM ({_LIST}) CROSS JOIN maps")
 def s4(spark, sf):
-    return _scanned(spark, sf).select("seq", "name", F.octet_length("payload").alias("bytes"))
+    return _scanned(spark, sf).select("map_id", "seq", "name", F.octet_length("payload").alias("bytes"))
 
 
-@REGISTER("s5_chunk_list", _LIST)
+@REGISTER("s5_chunk_list", f"WITH {_MAPS} SELECT * FROM ({_LIST}) CROSS JOIN maps")
 def s5(spark, sf):
-    return chk.section_list(_scanned(spark, sf)).drop("map_id")
+    return chk.section_list(_scanned(spark, sf))
 
 
-@REGISTER("s6_terrain_merge", "SELECT CAST(i % 16 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y, CAST(CASE WHEN i < 50 THEN i + 1000 ELSE i * 37 % 4096 END AS INTEGER) AS tile FROM range(256) t(i)")
+@REGISTER("s6_terrain_merge", f"WITH {_MAPS} SELECT map_id, CAST(i % 16 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y, CAST(CASE WHEN i < 50 THEN i + 1000 ELSE i * 37 % 4096 END AS INTEGER) AS tile FROM range(256) t(i) CROSS JOIN maps")
 def s6(spark, sf):
-    return chk.terrain(_scanned(spark, sf)).drop("map_id")
+    return chk.terrain(_scanned(spark, sf))
 
 
-@REGISTER("s7_dimensions", "SELECT 16 AS width, 16 AS height")
+@REGISTER("s7_dimensions", f"WITH {_MAPS} SELECT map_id, 16 AS width, 16 AS height FROM maps")
 def s7(spark, sf):
-    return chk.dimensions(_scanned(spark, sf)).drop("map_id")
+    return chk.dimensions(_scanned(spark, sf))
 
 
-@REGISTER("s8_units", """SELECT CAST((p_partkey - 1) % 60 AS INTEGER) AS k, CASE p_partkey % 4 WHEN 0 THEN 'geyser' WHEN 1 THEN 'mineral' ELSE 'start' END AS kind,
+@REGISTER("s8_units", """SELECT 'f' || (p_partkey - 1) // 100 AS map_id, CAST((p_partkey - 1) % 100 % 60 AS INTEGER) AS k, CASE p_partkey % 4 WHEN 0 THEN 'geyser' WHEN 1 THEN 'mineral' ELSE 'start' END AS kind,
 CAST(floor((p_partkey % 16 * 32 + 64 - CASE p_partkey % 4 WHEN 1 THEN 32 ELSE 64 END) / 32) AS INTEGER) AS tx, CAST(floor((p_size % 16 * 32 + 64 - CASE p_partkey % 4 WHEN 0 THEN 32 WHEN 1 THEN 16 ELSE 48 END) / 32.0) AS INTEGER) AS ty, CAST(p_size * 30 AS BIGINT) AS amount
-FROM part WHERE p_partkey BETWEEN 1 AND 100 AND p_partkey % 4 <> 3""")
+FROM part WHERE p_partkey % 4 <> 3""")
 def s8(spark, sf):
-    return chk.units(_scanned(spark, sf)).drop("map_id", "seq")
+    return chk.units(_scanned(spark, sf)).drop("seq")
 
 
-@REGISTER("s9_doodads", "SELECT CAST(p_partkey - 1 AS INTEGER) AS k, CAST(p_partkey AS INTEGER) AS id, CAST(p_partkey * 5 AS INTEGER) AS x, CAST(p_size * 7 AS INTEGER) AS y FROM part WHERE p_partkey BETWEEN 1 AND 100 AND p_size % 2 = 1")
+@REGISTER("s9_doodads", "SELECT 'f' || (p_partkey - 1) // 100 AS map_id, CAST((p_partkey - 1) % 100 AS INTEGER) AS k, CAST(p_partkey AS INTEGER) AS id, CAST(p_partkey % 100 * 5 AS INTEGER) AS x, CAST(p_size * 7 AS INTEGER) AS y FROM part WHERE p_size % 2 = 1")
 def s9(spark, sf):
-    return chk.doodads(_scanned(spark, sf)).drop("map_id")
+    return chk.doodads(_scanned(spark, sf))
 
 
-@REGISTER("s10_tileset", "SELECT 4 AS tileset, 'jungle' AS tileset_name")
+@REGISTER("s10_tileset", f"WITH {_MAPS} SELECT map_id, 4 AS tileset, 'jungle' AS tileset_name FROM maps")
 def s10(spark, sf):
-    return chk.tileset(_scanned(spark, sf)).drop("map_id")
+    return chk.tileset(_scanned(spark, sf))
 
 
-_TILES = "tiles AS (SELECT CAST(i % 16 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y, CAST(CASE WHEN i < 50 THEN i + 1000 ELSE i * 37 % 4096 END AS INTEGER) AS tile FROM range(256) t(i))"
+_TILES = f"{_MAPS}, tiles AS (SELECT map_id, CAST(i % 16 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y, CAST(CASE WHEN i < 50 THEN i + 1000 ELSE i * 37 % 4096 END AS INTEGER) AS tile FROM range(256) t(i) CROSS JOIN maps)"
 
 
 def _groups(spark):
@@ -102,30 +108,30 @@ def _groups(spark):
     return spark.range(256).select(g.alias("group"), (g * 29 % 256).alias("buildability"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (g * 3 + i) % 97).alias("mini"))
 
 
-@REGISTER("s11_tile_group", f"WITH {_TILES} SELECT x, y, (tile >> 4) & 2047 AS grp FROM tiles")
+@REGISTER("s11_tile_group", f"WITH {_TILES} SELECT map_id, x, y, (tile >> 4) & 2047 AS grp FROM tiles")
 def s11(spark, sf):
-    return chk.terrain(_scanned(spark, sf)).select("x", "y", chk.tile_group(F.col("tile")).alias("grp"))
+    return chk.terrain(_scanned(spark, sf)).select("map_id", "x", "y", chk.tile_group(F.col("tile")).alias("grp"))
 
 
-@REGISTER("s12_tile_variation", f"WITH {_TILES} SELECT x, y, tile & 15 AS variation FROM tiles")
+@REGISTER("s12_tile_variation", f"WITH {_TILES} SELECT map_id, x, y, tile & 15 AS variation FROM tiles")
 def s12(spark, sf):
-    return chk.terrain(_scanned(spark, sf)).select("x", "y", chk.tile_variation(F.col("tile")).alias("variation"))
+    return chk.terrain(_scanned(spark, sf)).select("map_id", "x", "y", chk.tile_variation(F.col("tile")).alias("variation"))
 
 
-@REGISTER("s13_tile_fetch", f"WITH {_TILES}, {fx.POINTS_SQL} SELECT x, y, tile FROM points_q JOIN tiles USING (x, y)")
+@REGISTER("s13_tile_fetch", f"WITH {_TILES}, {fx.POINTS_SQL} SELECT map_id, x, y, tile FROM points_q JOIN tiles USING (x, y)")
 def s13(spark, sf):
-    return fx.points(spark, sf).join(chk.terrain(_scanned(spark, sf)), ["map_id", "x", "y"]).select("x", "y", "tile")
+    return fx.points(spark, sf).drop("map_id").join(chk.terrain(_scanned(spark, sf)), ["x", "y"]).select("map_id", "x", "y", "tile")
 
 
-@REGISTER("s14_mini_tiles", f"WITH {_TILES} SELECT CAST(x * 4 + i % 4 AS INTEGER) AS x, CAST(y * 4 + i // 4 AS INTEGER) AS y, CAST(((((tile >> 4) & 2047) * 3 + (tile & 15)) % 97 * 7 + i) % 32 AS INTEGER) AS flag, ((((tile >> 4) & 2047) * 3 + (tile & 15)) % 97 * 7 + i) % 2 = 1 AS walkable FROM tiles CROSS JOIN range(16) r(i)")
+@REGISTER("s14_mini_tiles", f"WITH {_TILES} SELECT map_id, CAST(x * 4 + i % 4 AS INTEGER) AS x, CAST(y * 4 + i // 4 AS INTEGER) AS y, CAST(((((tile >> 4) & 2047) * 3 + (tile & 15)) % 97 * 7 + i) % 32 AS INTEGER) AS flag, ((((tile >> 4) & 2047) * 3 + (tile & 15)) % 97 * 7 + i) % 2 = 1 AS walkable FROM tiles CROSS JOIN range(16) r(i)")
 def s14(spark, sf):
     flags = spark.range(97).select(F.col("id").cast("int").alias("mini"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: ((F.col("id") * 7 + i) % 32).cast("int")).alias("flags"))
-    return chk.mini_tiles(chk.terrain(_scanned(spark, sf)), _groups(spark), flags).select("x", "y", "flag", chk.raw_walkable(F.col("flag")).alias("walkable"))
+    return chk.mini_tiles(chk.terrain(_scanned(spark, sf)), _groups(spark), flags).select("map_id", "x", "y", "flag", chk.raw_walkable(F.col("flag")).alias("walkable"))
 
 
-@REGISTER("s15_build_grid", f"WITH {_TILES} SELECT x, y, (((tile >> 4) & 2047) * 29 % 256) & 128 = 0 AS buildable FROM tiles")
+@REGISTER("s15_build_grid", f"WITH {_TILES} SELECT map_id, x, y, (((tile >> 4) & 2047) * 29 % 256) & 128 = 0 AS buildable FROM tiles")
 def s15b(spark, sf):
-    return chk.build_grid(chk.terrain(_scanned(spark, sf)), _groups(spark)).drop("map_id")
+    return chk.build_grid(chk.terrain(_scanned(spark, sf)), _groups(spark))
 
 
 @REGISTER("s17_content_hash", "SELECT CAST(r_regionkey AS INTEGER) AS id, sha1(r_name) AS sha1 FROM region")
@@ -133,24 +139,25 @@ def s17(spark, sf):
     return fx.read(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("id"), chk.content_hash(F.col("r_name").cast("binary")).alias("sha1"))
 
 
-@REGISTER("s2_s18_map_file", "SELECT 7 AS sections, 16 AS width")
+@REGISTER("s2_s18_map_file", f"WITH {_MAPS} SELECT map_id, seq, name, CAST(size AS INTEGER) AS bytes FROM ({_LIST}) CROSS JOIN maps")
 def s2(spark, sf):
-    """A scenario file written and read back through the binary file source; a repeated first section is left out."""
-    folder = tempfile.mkdtemp(prefix="gridmesa-map-") if spark.conf.get("spark.checkpoint.dir", None) is None else None
-    scanned = chk.sections(files(spark, sf) if folder is None else _through_file(spark, files(spark, sf), folder)).where("seq > 0")
-    return scanned.groupBy("map_id").agg(F.count("*").cast("int").alias("sections")).join(chk.dimensions(scanned), "map_id").select("sections", "width")
+    """Scenario files written and read back by Spark, one Parquet row a file, and scanned."""
+    return chk.sections(cache.landed(files(spark, sf), "map-files")).select("map_id", "seq", "name", F.octet_length("payload").alias("bytes"))
 
 
-def _through_file(spark, content, folder):
-    with open(f"{folder}/map.chk", "wb") as f:
-        f.write(content.first().content)
-    return chk.read_files(spark, folder)
+@REGISTER("s3_archive_member", f"WITH {_MAPS} SELECT map_id, seq, name, CAST(size AS INTEGER) AS bytes, CAST(NULL AS VARCHAR) AS problem FROM ({_LIST}) CROSS JOIN maps UNION ALL SELECT 'bare-' || map_id, NULL, NULL, NULL, 'ValueError: no archive header' FROM maps")
+def s3(spark, sf):
+    """Every scenario inside an archive, found by name and unpacked; the bare scenarios beside them are no archives, and are reported."""
+    plain = files(spark, sf)
+    both = archive.wrapped(plain).unionByName(plain.withColumn("map_id", F.concat(F.lit("bare-"), "map_id")))
+    found = archive.extract(both)
+    sections = chk.sections(found.where("content IS NOT NULL").select("map_id", "content")).select("map_id", "seq", "name", F.octet_length("payload").alias("bytes"))
+    return found.select("map_id", "problem").join(sections, "map_id", "left").select("map_id", "seq", "name", "bytes", "problem")
 
 
 @REGISTER("s19_s20_result_cache", f"WITH {fx.CELLS_SQL} SELECT x, y, raw FROM cells")
 def s19(spark, sf):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridmesa-cache-")
-    path = f"{root}/results-{spark.sparkContext.applicationId}"
+    path = cache.shared_path(spark, "results")
     cache.write_results(fx.walk_cells(spark, sf), path)
     return cache.read_results(spark, path).select("x", "y", "raw")
 
