@@ -29,15 +29,15 @@ def _section(name: str, digits):
 def files(spark, sf):
     """A scenario of 16 x 16 tiles for every hundred parts: dimensions, tileset, two unit sections, doodads, full and partial terrain."""
     p = F.col("p_partkey")
-    part = fx.read(spark, sf, "part").select(F.concat(F.lit("f"), F.floor((p - 1) / 100).cast("string")).alias("map_id"), p.alias("k"), ((p - 1) % 100 + 1).alias("own"), F.col("p_size").alias("s"))
+    part = fx.read(spark, sf, "part").select(F.concat(F.lit("f"), F.floor(p / 100).cast("string")).alias("map_id"), p.alias("k"), (p % 100).alias("own"), F.col("p_size").alias("s"))
     k, s = F.col("k"), F.col("s")
     kind = F.when(k % 4 == 0, chk.GEYSER).when(k % 4 == 1, chk.MINERALS[0]).when(k % 4 == 2, chk.START).otherwise(7)
     unit = F.concat(_le(k, 4), _le(k % 16 * 32 + 64, 2), _le(s % 16 * 32 + 64, 2), _le(kind, 2), F.lit("00" * 10), _le(s * 30, 4), F.lit("00" * 12))
     doodad = F.concat(_le(k, 2), _le(k % 100 * 5, 2), _le(s * 7, 2), F.lit("0000"), _le(F.when(s % 2 == 0, 4096).otherwise(15), 2))
     tiles = spark.range(256).select(F.lit("t").alias("map_id"), F.col("id").alias("k"), (F.col("id") * 37 % 4096).alias("s"))
     own = [
-        _joined(part.where("own <= 60"), "k", unit).select("map_id", _section("UNIT", F.col("d")).alias("u1")),
-        _joined(part.where("own > 60"), "k", unit).select("map_id", _section("UNIT", F.col("d")).alias("u2")),
+        _joined(part.where("own < 60"), "k", unit).select("map_id", _section("UNIT", F.col("d")).alias("u1")),
+        _joined(part.where("own >= 60"), "k", unit).select("map_id", _section("UNIT", F.col("d")).alias("u2")),
         _joined(part, "k", doodad).select("map_id", _section("THG2", F.col("d")).alias("g")),
     ]
     # Terrain is the same in all files: one row.
@@ -53,7 +53,7 @@ def files(spark, sf):
 
 
 #: Maps with their files, of a hundred parts each.
-_MAPS = "maps AS (SELECT DISTINCT 'f' || (p_partkey - 1) // 100 AS map_id FROM part)"
+_MAPS = "maps AS (SELECT DISTINCT 'f' || p_partkey // 100 AS map_id FROM part)"
 
 
 def _scanned(spark, sf):
@@ -83,14 +83,14 @@ def s7(spark, sf):
     return chk.dimensions(_scanned(spark, sf))
 
 
-@REGISTER("s8_units", """SELECT 'f' || (p_partkey - 1) // 100 AS map_id, CAST((p_partkey - 1) % 100 % 60 AS INTEGER) AS k, CASE p_partkey % 4 WHEN 0 THEN 'geyser' WHEN 1 THEN 'mineral' ELSE 'start' END AS kind,
+@REGISTER("s8_units", """SELECT 'f' || p_partkey // 100 AS map_id, CAST(p_partkey % 100 % 60 AS INTEGER) AS k, CASE p_partkey % 4 WHEN 0 THEN 'geyser' WHEN 1 THEN 'mineral' ELSE 'start' END AS kind,
 CAST(floor((p_partkey % 16 * 32 + 64 - CASE p_partkey % 4 WHEN 1 THEN 32 ELSE 64 END) / 32) AS INTEGER) AS tx, CAST(floor((p_size % 16 * 32 + 64 - CASE p_partkey % 4 WHEN 0 THEN 32 WHEN 1 THEN 16 ELSE 48 END) / 32.0) AS INTEGER) AS ty, CAST(p_size * 30 AS BIGINT) AS amount
 FROM part WHERE p_partkey % 4 <> 3""")
 def s8(spark, sf):
     return chk.units(_scanned(spark, sf)).drop("seq")
 
 
-@REGISTER("s9_doodads", "SELECT 'f' || (p_partkey - 1) // 100 AS map_id, CAST((p_partkey - 1) % 100 AS INTEGER) AS k, CAST(p_partkey AS INTEGER) AS id, CAST(p_partkey % 100 * 5 AS INTEGER) AS x, CAST(p_size * 7 AS INTEGER) AS y FROM part WHERE p_size % 2 = 1")
+@REGISTER("s9_doodads", "SELECT 'f' || p_partkey // 100 AS map_id, CAST(p_partkey % 100 AS INTEGER) AS k, CAST(p_partkey AS INTEGER) AS id, CAST(p_partkey % 100 * 5 AS INTEGER) AS x, CAST(p_size * 7 AS INTEGER) AS y FROM part WHERE p_size % 2 = 1")
 def s9(spark, sf):
     return chk.doodads(_scanned(spark, sf))
 
