@@ -13,7 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow record batches are handled in slices of about so many bytes of text, so that a worker's memory does not follow the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+#: Rows of an Arrow batch, unless the session says otherwise: rows are whole documents, and batches stand in memory several times over.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's default size of Arrow batches, it gets a smaller one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,9 +39,39 @@ def shared_root(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df after a round trip through a table in the shared folder: the lineage is cut, and losing an executor loses nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _SCRATCH.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+#: Paths of the tables that written() has made and that have not been discarded.
+_SCRATCH: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
+    _SCRATCH.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more."""
+    for df in tables:
+        if df.scratch_path in _SCRATCH:
+            _delete(df.sparkSession, df.scratch_path)
+
+
+def written_alone(spark: SparkSession, make, name: str) -> DataFrame:
+    """written(make(), name), after which the tables that make() and its plan needed on the way are deleted."""
+    before = set(_SCRATCH)
+    out = written(make(), name)
+    for path in [p for p in _SCRATCH if p not in before and p != out.scratch_path]:
+        _delete(spark, path)
+    return out
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -86,4 +127,5 @@ def appended_schema(df: DataFrame, keep: list[str], ddl: str):
     """df's types of the columns `keep`, followed by the fields of ddl."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    small_batches(df.sparkSession)
     return StructType([df.schema[c] for c in keep] + _parse_datatype_string(ddl).fields)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmesa.llm.common import written
+from gridmesa.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,16 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u != v").distinct()
+    out = written(moved.where("u != v").distinct(), "edges")
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component): component is the smallest node reachable. Nodes without an edge to another node are absent."""
+    """(node, component): component is the smallest node reachable. Nodes without an edge to another node are absent. Rounds end when the edges, compared by 128 bits of hashes and their number, stay."""
     now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        now = written(_star(_star(now, True), False), "edges")
-        state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).head()
+        large = _star(now, True)
+        following = _star(large, False)
+        discard(now, large)
+        now = following
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).head()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
