@@ -36,7 +36,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    lengths = packing.sized(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return packing.pack(lengths).withColumnRenamed("key", "doc_id")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

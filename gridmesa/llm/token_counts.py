@@ -38,26 +38,32 @@ def tokenizer_version(path: str) -> str:
 
 
 @lru_cache(2)
-def _counter(path: str):
-    """A function from texts to token counts: sentencepiece for .model, tokenizers for .json."""
+def tokenizer_encoder(path: str):
+    """A function from texts to lists of ids: sentencepiece for .model, tokenizers for .json."""
     if path.endswith(".model"):
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(ids) for ids in library.encode(texts, num_threads=1)]
+        return lambda texts: library.encode(texts, num_threads=1)
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return lambda texts: [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def tokenizer_counter(path: str):
+    """A function from texts to token counts."""
+    encode = tokenizer_encoder(path)
+    return lambda texts: [len(ids) for ids in encode(texts)]
 
 
 def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     """(content, n_tokens) of texts (content, text)."""
 
     def run(batches):
-        count = _counter(path)
+        count = tokenizer_counter(path)
         for part, values in arrow_texts(batches):
             yield with_columns(part, ["content"], n_tokens=pa.array(count(values), pa.int64()))
 
@@ -95,5 +101,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     once = flagged.where("_maybe").withColumn("_place", place).where("_place = 1")
     for misses in (flagged.where("not _maybe"), once):
         encode_counts(misses, tokenizer).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
+    # Written, so that the join deals both sides itself and can split a hot text's partition.
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy(F.col("content").alias("_content")).agg(F.max("n_tokens").alias("n_tokens"))
-    return digests.join(counts, "_content").select(*columns, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return digests.join(written(counts, "counts"), "_content").select(*columns, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
