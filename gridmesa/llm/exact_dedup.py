@@ -9,8 +9,8 @@ rows shuffle and the result is the same.
 Defined results: null text counts as empty. Equal texts are those identical after each run of white space
 (space, tab to carriage return) is replaced by one space. Of equal texts the row with the smallest order key stays; a
 null key is larger than any other. Repeated rows with the same key count each in group_size, and all rows holding the
-smallest key are `kept` unless keep_one() is used, which keeps one of them. Empty tables give empty results; other
-columns pass through, those named like a result are replaced.
+smallest key are `kept` unless keep_one() is used, which keeps one of them. Empty tables give empty results.
+membership() returns the key and its results only; keep_one() returns all columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,12 +81,11 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, one per group of equal texts, with docs' columns. A group's copies are cut to one per task before the shuffle."""
-    hashes = written(docs.select(digest(text).alias("_sha256")), "digests")
+    """The rows of docs that stay, one per group of equal texts, with docs' columns, whatever their names. A group's copies are cut to one per task before the shuffle."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"), digest(text).alias("sha256"))
+    hashes = written(rows.select("sha256"), "digests")
     bits = _bits_for(hashes.count())
-    words = repeated_slots(hashes, "_sha256", bits)
-    hashed = docs.withColumn("_sha256", digest(text))
-    maybe = _possibly_repeated(words, F.col("_sha256"), bits)
-    first = Window.partitionBy("_sha256").orderBy(F.col(key).asc_nulls_last())
-    shared = hashed.where(maybe).withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return hashed.where(~maybe).select(*docs.columns).unionByName(shared.select(*docs.columns))
+    maybe = _possibly_repeated(repeated_slots(hashes, "sha256", bits), F.col("sha256"), bits)
+    first = Window.partitionBy("sha256").orderBy(F.col("key").asc_nulls_last())
+    shared = rows.where(maybe).withColumn("place", F.row_number().over(first)).where("place = 1")
+    return rows.where(~maybe).select("row.*").unionByName(shared.select("row.*"))

@@ -6,7 +6,8 @@ gathering rows of that table and adding them up by text.
 Defined results: a text that is null, empty or without any letter is `und` with score 0. Other texts, of any length, get
 the likeliest learned language and its posterior probability; ties go to the first language by name. Repeated rows get
 equal results. An empty table gives an empty result. Input columns pass through, unless named like a result, in which
-case the result replaces them. Training with no labelled row at all leaves every text `und`.
+case the result replaces them. Training with no labelled row at all leaves every text `und`. A text of over 2**19 characters
+is read in pieces of that size; the one or two n-grams across each border between pieces do not count.
 """
 
 from __future__ import annotations
@@ -143,6 +144,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", predicted: str =
 
 
 def reject_unidentified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, with docs' columns, whose language is determined with a probability of at least `least`."""
-    found = identify(docs, model, text, "_lang_pred", "_lang_score")
-    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    """The rows of docs, with docs' columns, whatever their names, whose language is determined with a probability of at least `least`."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = identify(rows, model, "text", "language", "score")
+    return found.where((F.col("language") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
