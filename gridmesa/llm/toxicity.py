@@ -3,11 +3,12 @@
 The kernel of two words is the sum, over all subsequences of three characters, of the product of their weights in both;
 an occurrence weighs DECAY to the power of the stretch it spans, and spans up to MAX_SPAN characters. An insult therefore
 keeps most of its kernel with itself when characters are inserted, dropped or put around it. Single letters standing
-apart count as one word, so spelling one out changes nothing.
+apart count as one word, so spelling one out changes nothing, and a word with other characters set between its letters counts as
+the letters alone, too. Kernels of under FLOOR of a landmark's own count as none.
 
 Landmarks are the words whose share of toxic training documents most exceeds their share of the others. A word's vector
 holds its kernel with each landmark, relative to the landmark's own; a sentence takes the largest over its words, and is
-mapped by the inverse square root of the landmarks' kernel matrix (the Nystrom features). A linear support vector machine
+mapped by the inverse square root of the landmarks' kernel matrix, on the same scale (the Nystrom features). A linear support vector machine
 learns from labelled sentences: those of clean documents, and of each toxic one the sentence that scores highest, chosen
 anew in each round. A document scores as its highest sentence, through a logistic fit.
 
@@ -50,6 +51,8 @@ _BREAK = "\0"
 KNOWN_WORDS = 600_000
 #: Three words of one character in a row.
 _LETTERS = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
+#: Characters that are no letters or digits, and such a one between two letters.
+_NO_LETTERS, _SET_APART = re.compile(r"[\W_]+"), re.compile(r"[^\W_][\W_]+[^\W_]")
 #: White space as str.split() has it, by code point.
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
@@ -104,6 +107,7 @@ class Kernel:
     weights: np.ndarray = field(init=False)
     largest: np.ndarray = field(init=False)
     gram: np.ndarray = field(init=False)
+    scale: np.ndarray = field(init=False)
 
     def __post_init__(self):
         own = [_triples(w) for w in self.landmarks]
@@ -121,7 +125,14 @@ class Kernel:
             self.table[(a << 12) | (b << 6) | c] = n
             self.weights[n] = [t.get(u, 0.0) / s for t, s in zip(own, scale, strict=True)]
         self.largest = self.weights.max(1, initial=0.0)
-        self.gram = np.array([[sum(v * t.get(u, 0.0) for u, v in s.items()) / (p * q) ** 0.5 for t, q in zip(own, scale, strict=True)] for s, p in zip(own, scale, strict=True)])
+        # Kernels of the landmarks with each other, on the same scale as those of units: relative to the second one's own.
+        self.gram = np.array([[sum(v * t.get(u, 0.0) for u, v in s.items()) / q for t, q in zip(own, scale, strict=True)] for s in own])
+        self.scale = np.array(scale)
+
+    def nystrom(self) -> np.ndarray:
+        """What takes a unit's kernels with the landmarks, as units() gives them, to its Nystrom features: the scale taken back, then the inverse square root of the landmarks' kernel matrix. Features of two landmarks have their kernel as inner product."""
+        value, vector = np.linalg.eigh(self.gram * self.scale)
+        return self.scale[:, None] * ((vector / np.sqrt(np.maximum(value, 1e-6 * value.max()))) @ vector.T)
 
     def units(self, points: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
         """units x landmarks; kernels below FLOOR are 0. A first pass sums each subsequence's largest weight, a bound above every kernel of the unit; only units whose bound reaches FLOOR get vectors."""
@@ -192,6 +203,12 @@ class Model:
         for first, last in slices(new, PIECE // 2):
             points, unit, _, _ = _units(["\n".join(new[first:last])], joined_letters=False)
             vectors = self.kernel.units(points, unit, last - first)
+            # A word with other characters set between its letters also counts as the letters alone.
+            bare = {i: _NO_LETTERS.sub("", w) for i, w in enumerate(new[first:last]) if _SET_APART.search(w)}
+            if bare:
+                points, unit, _, _ = _units(["\n".join(bare.values())], joined_letters=False)
+                rows = list(bare)
+                vectors[rows] = np.maximum(vectors[rows], self.kernel.units(points, unit, len(rows)))
             self.telling.update((new[first + i], vectors[i].copy()) for i in np.flatnonzero(vectors.any(1)))
         self.known.update(new)
 
@@ -283,8 +300,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_
     blocks = [np.frombuffer(b, np.float32).reshape(-1, len(words)) for b in got.x]
     owner = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
     x, y = np.vstack(blocks).astype(np.float64), got.y.to_numpy()
-    value, vector = np.linalg.eigh(kernel.gram)
-    nystrom = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    nystrom = kernel.nystrom()
     features = x @ nystrom
     margin = x.max(1)
     heads = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])

@@ -58,7 +58,7 @@ def _auc(score, y):
     return (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
 
 
-@pytest.mark.parametrize(("operator", "label", "least"), [(quality, "quality", 0.97), (toxicity, "toxic", 0.7)])
+@pytest.mark.parametrize(("operator", "label", "least"), [(quality, "quality", 0.97), (toxicity, "toxic", 0.9)])
 def test_held_out_accuracy(labelled, operator, label, least):
     model = operator.train(labelled.where(fold(5) != 0), label=label)
     held = operator.score(labelled.where(fold(5) == 0), model).toPandas()
@@ -83,6 +83,22 @@ def test_gapped_insults_keep_their_kernel():
     assert best("the houses stand")[0] == 0
 
 
+def test_characters_between_all_letters_change_nothing():
+    kernel = toxicity.Kernel(["scoundrel", "numbskull"])
+    model = toxicity.Model(kernel, np.ones(2), 0.0, 1.0, 0.0)
+    plain = model.margins(["you scoundrel there"])[0]
+    assert model.margins(["you s.c.o.u.n.d.r.e.l there", "you s*c*o*u*n*d*r*e*l, there", "no such word here"]).tolist() == [pytest.approx(plain), pytest.approx(plain), 0.0]
+
+
+def test_landmarks_have_one_kernel_on_both_sides():
+    kernel = toxicity.Kernel(["scoundrel", "numbskull", "trash"])
+    features = kernel.gram @ kernel.nystrom()
+    for i, a in enumerate(kernel.landmarks):
+        for j, b in enumerate(kernel.landmarks):
+            exact = sum(v * toxicity._triples(b).get(u, 0.0) for u, v in toxicity._triples(a).items())
+            assert features[i] @ features[j] == pytest.approx(exact, abs=1e-9)
+
+
 def test_kernel_equals_enumeration():
     kernel = toxicity.Kernel(["scum", "trash"])
     for word in ("scum", "scxum", "trrash", "mucs", "tr-as-h"):
