@@ -22,7 +22,7 @@ from gridmesa.llm.common import written
 
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH = 32, 64, 96, 1.2, 256
 #: Vectors in a shard and queries in a block, about.
-SHARD, BLOCK = 4096, 2048
+SHARD, BLOCK = 32_768, 32_768
 
 
 class Graph:
@@ -31,6 +31,8 @@ class Graph:
     def __init__(self, points: np.ndarray, seed: int = 5):
         self.points = points
         self.norms = (points**2).sum(1)
+        #: Points whose distance some search has computed, each counted once a search.
+        self.visited = 0
         n = len(points)
         rng = np.random.default_rng(seed)
         self.neighbours = np.full((n, DEGREE), -1, np.int64)
@@ -61,6 +63,7 @@ class Graph:
             pick = open_.argmin(1)
             active = np.flatnonzero(np.isfinite(open_[rows, pick]))
             if not len(active):
+                self.visited += int(seen.sum())
                 return ids, dist
             done[active, pick[active]] = True
             near = self.neighbours[ids[active, pick[active]]]
@@ -147,7 +150,7 @@ def _search(batches, k: int, beam: int):
         for r in batch.itertuples():
             graph = Graph.__new__(Graph)
             graph.points = np.frombuffer(r.vectors).reshape(-1, r.dim)
-            graph.norms, graph.entry = (graph.points**2).sum(1), r.entry
+            graph.norms, graph.entry, graph.visited = (graph.points**2).sum(1), r.entry, 0
             graph.neighbours = np.frombuffer(r.neighbours, np.int32).reshape(-1, DEGREE).astype(np.int64)
             ids, queries, of = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_vectors).reshape(-1, r.dim), np.frombuffer(r.query_ids, np.int64)
             for at in range(0, len(queries), BATCH):
