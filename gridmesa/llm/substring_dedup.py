@@ -1,21 +1,24 @@
-"""Removal of long repeated byte strings: distributed prefix doubling over sampled positions.
+"""Removal of long repeated byte strings: prefix doubling over sampled positions.
 
 A repeated string of `length` bytes (200) holds, at the same place in every occurrence, the position where a hash of the next
-`half` bytes (100) is smallest among its own positions; these anchors are about one position in 51. Ranks are names of
-byte strings, equal just when the strings are (64-bit hashes, made inside a text by doubling: 1, 2, 4 ... bytes).
+`half` bytes (100) is smallest among its own positions; these anchors are about one position in 51. Ranks are 64-bit names of byte
+strings, made inside a text by doubling (1, 2, 4 ... bytes): that part of the doubling needs no other text.
 
 Round 1, offset `half`: Spark groups the ranks of the anchors' `half` bytes; those that are unique drop out, with every
 position they stand for. Round 2: of the others each stands for the run of positions whose window chose it, at most
-`half` + 1. Rows are dealt and sorted by rank, and the pairs of ranks at the two offsets of each remaining position name its `length`
-bytes; names are sorted again, and the positions that share one are repeated. That passes the threshold, so it ends.
+`half` + 1. Rows are dealt and sorted by rank; the strings of `length` bytes at all their positions are named afresh from the
+bytes, the names are sorted, and positions that share one are repeated, once their bytes have been compared. That passes the threshold, so it ends.
 
-A rank with more than HOT rows is dealt out by its pairs instead, position by position, so no task holds an unbounded group.
-Which ranks repeat, and which are hot, reaches the second scan as bit maps of fixed size; a false positive there costs work,
-never a wrong result.
+This is not the doubling of every position in Spark, which has a row of rank pairs for each byte in every round; the README
+says what that took.
+
+A rank with more than HOT rows is dealt out instead, position by position, under two independent names (128 bits), so no task holds an
+unbounded group. Which ranks repeat, and which are hot, reaches the second scan as bit maps of fixed size; a false positive
+there costs work, never a wrong result.
 
 Defined results: null counts as the empty text; texts shorter than `length` keep every byte. Equal texts repeat each
 other, so they lose all their bytes if long enough. Results are by text, so that repeated rows and null ids get equal
-ones. An empty table gives an empty result; only the named columns are returned.
+ones. An empty table gives an empty result; only the named columns are returned, and the four results replace columns named like them.
 """
 
 from __future__ import annotations
@@ -49,9 +52,9 @@ def _mixed(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def names(data: np.ndarray, length: int) -> np.ndarray:
-    """For each position with `length` bytes from it, a name of them."""
-    now, width = (data.astype(np.uint64) + np.uint64(1)) * _A, 1
+def names(data: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """For each position with `length` bytes from it, a name of them; another salt gives an independent one."""
+    now, width = (data.astype(np.uint64) + np.uint64(1 + 257 * salt)) * _A, 1
     while width * 2 <= length:
         now, width = _mixed(now[: len(now) - width], now[width:], width), 2 * width
     rest = length - width
@@ -128,6 +131,17 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
+def _same_bytes(data: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> bool:
+    """Whether the `length` bytes at each left place equal those at the right one. After a pair of places just before, only the last byte is new."""
+    if not (data[left + length - 1] == data[right + length - 1]).all():
+        return False
+    partner = np.full(len(data) + 1, -2)
+    partner[left] = right
+    heads = np.flatnonzero(partner[left - 1] != right - 1) if len(left) else left
+    windows = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else data[:0, None]
+    return all((windows[left[part]] == windows[right[part]]).all() for part in np.array_split(heads, -(-len(heads) // 1024)) if len(part)) if len(heads) else True
+
+
 def _bit_map(ranks: DataFrame) -> np.ndarray:
     """The map's words, put together on the executors in blocks of 32 KB, of which the driver gets 512 at most."""
     slot = F.pmod("rank", F.lit(1 << MAP_BITS))
@@ -150,7 +164,7 @@ def _in_map(bits: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(text_key, spans): for each distinct text with bytes covered by a repeated string, the covered stretches (start, stop), which may overlap."""
+    """(text_key, spans), a written table: for each distinct text with bytes covered by a repeated string, the covered stretches (start, stop), which may overlap."""
     source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
 
     def count(batches):
@@ -214,6 +228,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ho
         order = np.argsort(named[at], kind="stable")
         ranked = named[at][order]
         same = ranked[1:] == ranked[:-1]
+        if not _same_bytes(data, at[order[:-1]][same], at[order[1:]][same], length):  # two strings share a name: the bytes themselves are sorted
+            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[at]).view(f"V{length}")[:, 0]
+            exact = np.unique(windows, return_inverse=True)[1]
+            order = np.argsort(exact, kind="stable")
+            same = exact[order][1:] == exact[order][:-1]
         twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         flags = np.zeros(len(data) + 1, bool)
         flags[at[order[twice]]] = True
@@ -226,28 +245,31 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ho
     spans = cold.mapInArrow(compare, "text_key binary, start long, stop long")
     if crowded.value is not None:
         spans = spans.unionByName(_dealt_by_position(source, crowded, length))
-    return spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    out = written(spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "repeated-spans")
+    for bits in (candidate, crowded):
+        bits.destroy()
+    return out
 
 
 def _dealt_by_position(source: DataFrame, crowded, length: int) -> DataFrame:
-    """Spans from the hot ranks: one row per position, grouped by the name of its `length` bytes with partial aggregation."""
+    """Spans from the hot ranks: one row per position, grouped by two independent names of its `length` bytes, 128 bits in all, with partial aggregation."""
 
     def positions(batches):
         for _, texts in arrow_texts(batches):
             encoded = _encoded(texts)
             keys = [hashlib.sha256(t).digest()[:16] for t in encoded]
             for data, ranks, low, high, index, offset in sampled(encoded, length):
-                named = names(data, length).view(np.int64)
+                named, again = (names(data, length, salt).view(np.int64) for salt in (0, 1))
                 use = np.flatnonzero(_in_map(crowded.value, ranks))
                 for at in range(0, len(use), 256):
                     part = use[at : at + 256]
                     sizes = high[part] - low[part] + 1
                     place = np.repeat(low[part] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(named[place]), pa.array([k for i, n in zip(index[part], sizes, strict=True) for k in [keys[i]] * n], pa.binary()), pa.array(place + np.repeat(offset[part], sizes))], names=["name", "text_key", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(named[place]), pa.array(again[place]), pa.array([k for i, n in zip(index[part], sizes, strict=True) for k in [keys[i]] * n], pa.binary()), pa.array(place + np.repeat(offset[part], sizes))], names=["name", "again", "text_key", "start"])
 
-    rows = source.mapInArrow(positions, "name long, text_key binary, start long")
-    twice = written(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "repeated-names")
-    return rows.join(twice, "name").select("text_key", "start", (F.col("start") + length).alias("stop"))
+    rows = source.mapInArrow(positions, "name long, again long, text_key binary, start long")
+    twice = written(rows.groupBy("name", "again").agg(F.count("*").alias("n")).where("n > 1").select("name", "again"), "repeated-names")
+    return rows.join(twice, ["name", "again"]).select("text_key", "start", (F.col("start") + length).alias("stop"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -261,13 +283,14 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """The columns `keep` with kept (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs)."""
+    """The columns `keep` with kept (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs), which replace columns so named."""
     columns = [c for c in keep if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    spans = written(repeated_spans(docs, text, length, hot), "repeated-spans")
-    joined = docs.select(*columns, text_or_empty(text).alias("_text"), text_key(text).alias("text_key")).join(spans, "text_key", "left")
+    spans = repeated_spans(docs.select(F.col(f"`{text}`").alias("text")), "text", length, hot)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row") if columns else F.lit(0).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    joined = own.withColumn("text_key", text_key()).join(spans, "text_key", "left")
 
     def cut(batches):
-        for part, texts in arrow_texts(batches, "_text"):
+        for part, texts in arrow_texts(batches):
             kept, removed, runs, sizes = [], [], [], []
             for data, own in zip(_encoded(texts), part.column("spans").to_pylist(), strict=True):
                 merged = _merged(own or [])
@@ -279,6 +302,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length:
                 sizes.append(len(data))
                 removed.append(len(data) - len(kept[-1]))
                 runs.append(len(merged))
-            yield with_columns(part, columns, kept=pa.array(kept, pa.binary()), n_bytes=pa.array(sizes, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(runs, pa.int64()))
+            yield with_columns(part, ["row"], kept=pa.array(kept, pa.binary()), n_bytes=pa.array(sizes, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(runs, pa.int64()))
 
-    return joined.mapInArrow(cut, appended_schema(docs, columns, "kept binary, n_bytes long, n_removed long, n_spans long"))
+    out = joined.select("row", "text", "spans").mapInArrow(cut, appended_schema(joined, ["row"], "kept binary, n_bytes long, n_removed long, n_spans long"))
+    return out.select(*(["row.*"] if columns else []), "kept", "n_bytes", "n_removed", "n_spans")
