@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmesa.llm.common import appended_schema, arrow_texts, bounded_sample, with_columns, written
+from gridmesa.llm.common import appended_schema, arrow_texts, with_columns, written
 from gridmesa.llm.components import connected_components
 from gridmesa.llm.substring_dedup import _bit_map, _in_map
 
@@ -31,8 +31,12 @@ WIDTH = 64
 SEED = 42
 #: Buckets of up to so many fingerprints are compared pair by pair.
 SMALL_BUCKET = 24
-#: Documents, at most about, in which common shingles are looked for, and the documents there that a common one is over.
-SAMPLE, COMMON = 20_000, 20
+#: Independent SimHashes of a document's words in the search for near copies, and the radius within which each is covered.
+HASHES, NEAR = 8, 3
+#: Pairs for which one copy of a set is sent.
+PAIRS = 256
+#: Rows of a bucket that one task compares with each other or with as many others; larger buckets are dealt out by pairs of blocks.
+CELL = 2_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingle hashes whose bits are counted at once.
 _BLOCK = 1 << 14
@@ -111,169 +115,230 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(of_print, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def distinct_word_fingerprint(text: str) -> int:
-    """SimHash of the set of the text's lower-cased words; few changed words change few bits, and unrelated texts differ in about half."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SEEDS = _mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_fingerprints(text: str) -> np.ndarray:
+    """HASHES independent SimHashes of the set of the text's lower-cased words: few changed words change few bits, and unrelated texts differ in about half."""
     words = set(text.encode("utf-8", "surrogatepass").translate(_LOWER).split())
-    if not words:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), "<u8", len(words))
-    ones = sum(np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(hashes), _BLOCK))
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    ones = np.zeros((HASHES, WIDTH), np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        mixed = _mixed(hashes[None, at : at + _BLOCK] ^ _SEEDS[:, None])
+        ones += np.unpackbits(mixed.view(np.uint8).reshape(HASHES, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def table_keys(prints: np.ndarray) -> np.ndarray:
+    """documents x (HASHES times tables): the bucket of each in every table of every hash, as one 64-bit name. prints: documents x HASHES."""
+    masks = np.array(covering_masks(NEAR), np.uint64)
+    table = np.arange(1, HASHES * len(masks) + 1, dtype=np.uint64).reshape(HASHES, -1) * np.uint64(0x9E3779B97F4A7C15)
+    return _mixed((prints[:, :, None] & masks) + table).reshape(len(prints), -1)
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the lower-cased word shingles; a text of fewer words has one, the whole sequence."""
+    """Sorted distinct 64-bit hashes of the lower-cased word shingles; a text of fewer words has one, the whole sequence."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint32)).astype(np.int64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))), np.uint64)).view(np.int64)
 
 
-def _summary(shingles: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of a shingle set, the parity of the count in each of 256 hash classes (four words), and the first shingles in the common order: those in `common` last.
-
-    Two sets differ in at least as many shingles as parities. Sets of the similarity share so many shingles that the first
-    one they share is among these of both.
-    """
-    parity = np.packbits((np.bincount(shingles & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64)
-    last = np.isin(shingles, common)
-    return parity, np.concatenate([shingles[~last], shingles[last]])[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1]
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the count of shingles in each of 256 hash classes, in four words. Two sets differ in at least as many shingles as parities."""
+    return np.packbits((np.bincount(shingles & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _bucket_pairs(component, n, at, parity, similarity: float, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a bucket's members that are in different components and may have the similarity: all of them, or a linear number (each with the next and with the most central)."""
+def _cell_pairs(component, n, parity, prints, block, similarity: float, every: bool):
+    """Index pairs of a cell's rows, in pieces: rows in different components that are within NEAR bits in one of the hashes and may have the similarity. Unless `every`, of each row and component only the pair that differs in the fewest parities."""
     share, size = (1 - similarity) / (1 + similarity), len(n)
-
-    def possible(i, j):
-        # Sets of the similarity differ in at most this many shingles; all before the first shared one are among them.
-        most = (n[i] + n[j]) * share + 1e-9
-        i, j = (x[(component[i] != component[j]) & (abs(n[i] - n[j]) <= most) & (at[i] + at[j] <= most)] for x in (i, j))
-        near = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64) <= (n[i] + n[j]) * share + 1e-9
-        return i[near], j[near]
-
-    names, index, counts = np.unique(component, return_inverse=True, return_counts=True)
-    if len(names) == 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not exact and size > SMALL_BUCKET:
-        bits = np.unpackbits(np.ascontiguousarray(parity[: 1 << 16]).view(np.uint8), axis=1)
-        hub = int((bits != (bits.mean(0) > 0.5)).sum(1).argmin())
-        return possible(np.concatenate([np.full(size, hub), np.arange(size - 1)]), np.concatenate([np.arange(size), np.arange(1, size)]))
+    _, index, counts = np.unique(component, return_inverse=True, return_counts=True)
     # Members of the largest component are compared with the others only.
     inside = index == counts.argmax()
     order = np.lexsort([n, inside])
-    left, right = [], []
-    for a in range(0, size - int(inside.sum()), 1024):
+    for a in range(0, size - int(inside.sum()), 512):
         for b in range(a, size, 1024):
-            i, j = np.meshgrid(order[a : a + 1024], order[b : b + 1024], indexing="ij")
-            if a == b:
-                upper = np.triu_indices(len(i), 1)
-                i, j = i[upper], j[upper]
-            i, j = possible(i.ravel(), j.ravel())
-            left.append(i)
-            right.append(j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def candidate_pairs(rows: DataFrame, similarity: float, exact: bool) -> DataFrame:
-    """(a, b): ids of rows (rank, at, id, component, n, p0 to p3) that share a rank, are in different components and may have the similarity. Unless `exact`, buckets of over SMALL_BUCKET members give a linear number of their pairs."""
+            i, j = (x.ravel() for x in np.meshgrid(order[a : a + 512], order[b : b + 1024], indexing="ij"))
+            # Sets of the similarity differ in at most this many shingles.
+            use = (i != j) & (index[i] != index[j]) & (abs(n[i] - n[j]) <= (n[i] + n[j]) * share + 1e-9) & ((block[i] != block[j]) | (block[i] < 0))
+            i, j = i[use], j[use]
+            apart = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
+            use = apart <= (n[i] + n[j]) * share + 1e-9
+            i, j, apart = i[use], j[use], apart[use]
+            use = (np.bitwise_count(prints[i] ^ prints[j]) <= NEAR).any(1)
+            i, j, apart = i[use], j[use], apart[use]
+            if len(i) and not every:
+                best = np.lexsort((apart, index[j], i))
+                first = np.concatenate([[True], (np.diff(i[best]) != 0) | (np.diff(index[j][best]) != 0)])
+                i, j = i[best[first]], j[best[first]]
+            yield i, j
+
+
+_ATTRIBUTES = [*[f"p{k}" for k in range(4)], *[f"f{k}" for k in range(HASHES)]]
+
+
+def candidate_pairs(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(a, b): ids of rows (rank, id, component, n, p0.., f0..) that share a rank and may be similar, see _cell_pairs. A rank with over CELL rows is dealt out: its rows get blocks, and every two blocks meet in a cell of their own."""
+    sizes = rows.groupBy("rank").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).where("blocks > 1")
+    sized = rows.join(written(sizes, "hot-buckets"), "rank", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = sized.withColumn("own", F.coalesce(own, F.lit(-1))).withColumn("other", others)
+    # In the cell of a block with itself all rows are compared, which the mark -1 says.
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "block": F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))}).drop("own", "other", "blocks")
 
     def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = pa.concat_tables([rest, table]) if rest is not None else table
-            rank = rest.column("rank").to_numpy()
-            change = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            cell = np.stack([rest.column(c).to_numpy() for c in ("rank", "i", "j")])
+            change = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
             if len(change):
                 yield from emit(rest.slice(0, change[-1]), np.concatenate([[0], change]))
-                rest = rest.slice(change[-1])
+                rest = rest.slice(change[-1]).combine_chunks()
         if rest is not None and rest.num_rows:
             yield from emit(rest, np.array([0, rest.num_rows]))
 
     def emit(table, bounds):
-        ids, component, n, at = (table.column(c).to_numpy() for c in ("id", "component", "n", "at"))
-        parity = np.stack([table.column(f"p{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
-        left, right = [], []
+        ids, component, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+        parity, prints = (np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64) for names in (_ATTRIBUTES[:4], _ATTRIBUTES[4:]))
         for k in np.flatnonzero(np.diff(bounds) > 1):
-            own = slice(bounds[k], bounds[k + 1])
-            i, j = _bucket_pairs(component[own], n[own], at[own], parity[own], similarity, exact)
-            left.append(ids[own][i])
-            right.append(ids[own][j])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            cell = slice(bounds[k], bounds[k + 1])
+            for i, j in _cell_pairs(component[cell], n[cell], parity[cell], prints[cell], block[cell], similarity, every):
+                if len(i):
+                    a, b = ids[cell][i], ids[cell][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    # The rows of a rank's cells are spread by all three columns.
+    return dealt.repartition("rank", "i", "j").sortWithinPartitions("rank", "i", "j", "id").mapInArrow(run, "a long, b long").where("a != b").distinct()
 
-    return rows.repartition("rank").sortWithinPartitions("rank", "id").mapInArrow(run, "a long, b long").distinct()
 
+def similar_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a written table) whose sets of word shingles have a Jaccard similarity of at least `similarity`. docs: id, text.
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of word shingles have a Jaccard similarity of at least `similarity`."""
+    The set of b goes to where a's is. An a with many pairs is dealt out, with a copy of its set for every PAIRS of them.
+    """
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def run(batches):
-        for part, texts in arrow_texts(batches, text):
+        for part, texts in arrow_texts(batches):
             yield with_columns(part, ["id"], shingles=pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64())))
 
-    sets = docs.select(F.col(key).alias("id"), text).join(involved, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    sets = written(docs.join(involved, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "shingles")
+    deals = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("deals")), "deals")
+    dealt = pairs.join(deals, "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).select("a", "b", "deal")
+    many = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    one = deals.select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = many.join(one.hint("merge"), ["a", "deal"])
+    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b").distinct()
 
 
-def _common_shingles(docs: DataFrame, key: str, text: str, shingle: int) -> np.ndarray:
-    """Sorted shingles that are in over COMMON documents of a bounded sample. They only set the order, so the sample changes the time and never the result."""
+def _entries(rows: DataFrame, bits=None) -> DataFrame:
+    """rank, the row's bucket in each table, before the columns of rows (prints, and others, numbers all): a row for every bucket, or for those whose rank is in a bit map."""
+    names = [c for c in rows.columns if c != "prints"]
 
     def run(batches):
-        for _, texts in arrow_texts(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in texts]))], names=["rank"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                rank = table_keys(part.column("prints").flatten().to_numpy().reshape(-1, HASHES).view(np.uint64)).view(np.int64)
+                owner = np.repeat(np.arange(part.num_rows), rank.shape[1])
+                rank = rank.ravel()
+                if bits is not None:
+                    use = np.flatnonzero(_in_map(bits.value, rank))
+                    rank, owner = rank[use], owner[use]
+                taken = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(rank), *[part.column(c).take(taken) for c in names]], names=["rank", *names])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["rank", *names]))
+
+
+def _bucket_map(classes: DataFrame):
+    """A broadcast bit map of the buckets with several members; of buckets with just the same members, of one. Others that the map lets through cost work only."""
+    context = classes.sparkSession.sparkContext
+    ids = classes.select("id", "prints")
+    repeated = written(_entries(ids.select("prints")).groupBy("rank").count().where("count > 1").select("rank"), "repeated-keys")
+    bits = context.broadcast(_bit_map(repeated))
+    found = _entries(ids, bits)
+    members = found.groupBy("rank").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    chosen = written(members.where("n > 1").groupBy("n", "x", "y").agg(F.min("rank").alias("rank")).select("rank"), "distinct-buckets")
+    bits.destroy()
+    return context.broadcast(_bit_map(chosen))
+
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): for each id b the smallest id a that it finds at the head of one of its buckets. rows: rank, id. Rows are sorted over all tasks by both columns, so a hot bucket spreads; each task's part of a bucket has a head of its own."""
 
-    sample = bounded_sample(docs, SAMPLE, key).select(text).mapInArrow(run, "rank long")
-    return np.array(sorted(r.rank for r in sample.groupBy("rank").count().where(F.col("count") > COMMON).toLocalIterator()), np.int64)
+    def run(batches):
+        rank, head = None, 0
+        for batch in batches:
+            ranks, ids = batch.column("rank").to_numpy(), batch.column("id").to_numpy()
+            starts = np.concatenate([[rank is None or ranks[0] != rank], ranks[1:] != ranks[:-1]]) if len(ranks) else np.zeros(0, bool)
+            at = np.maximum.accumulate(np.where(starts, np.arange(len(ranks)), -1))
+            heads = np.where(at >= 0, ids[np.maximum(at, 0)], head)
+            if len(ranks):
+                rank, head = ranks[-1], heads[-1]
+            use = heads != ids
+            yield pa.RecordBatch.from_arrays([pa.array(heads[use]), pa.array(ids[use])], names=["a", "b"])
+
+    return rows.repartitionByRange("rank", "id").sortWithinPartitions("rank", "id").mapInArrow(run, "a long, b long").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay, one per group of near-duplicates (that of the smallest integer key), with docs' columns.
 
-    Documents link if at least `similarity` of their word shingles are shared, and groups are the components of all links.
-    The search for them loses none: with all shingles in one order, two such sets share one of their first shingles, a
-    fifth of each for 0.8. Equal sets form one class first. Two rounds then compare a linear number of each bucket's pairs,
-    and a last one every pair that may have the similarity and is not in one component yet; all documents take part in all
-    rounds. Rows with a null key always stay.
+    Two documents are candidates if one of HASHES independent SimHashes of their words is within NEAR bits; covering tables
+    lose none of these. Candidates link if they share at least `similarity` of their word shingles, and groups are the
+    components of all links. Equal sets form one class first. So as to compare few pairs, three rounds each verify some
+    candidates: of each document the one with its buckets' smallest id; then of each document and each other component of a
+    bucket the closest; at last all candidates still in different components. All documents take part in all rounds.
+
+    Defined results: null and empty texts, and texts without words, have one shingle, the empty one, and so form one group.
+    Rows with a null key always stay. Rows that repeat a key count as one document, which stays if one of its texts does. An empty table
+    gives an empty result; other columns pass through, whatever their names.
     """
-    context = docs.sparkSession.sparkContext
-    keyed = docs.where(F.col(key).isNotNull())
-    common = context.broadcast(_common_shingles(keyed, key, text, shingle))
+    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def summaries(batches):
-        for part, texts in arrow_texts(batches, text):
+        for part, texts in arrow_texts(batches):
             sets = [shingle_set(t, shingle) for t in texts]
-            parity, first = zip(*[_summary(s, common.value, similarity) for s in sets], strict=True)
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield with_columns(part, ["id"], digest=digest, n=pa.array([len(s) for s in sets], pa.int64()), parity=pa.array(parity, pa.list_(pa.int64())), first=pa.array(first, pa.list_(pa.int64())))
-
-    sets = written(keyed.select(F.col(key).cast("long").alias("id"), text).mapInArrow(summaries, "id long, digest binary, n long, parity array<long>, first array<long>"), "summaries")
-    classes = written(sets.groupBy("digest").agg(F.min(F.struct("id", "n", "parity", "first")).alias("least")).select("digest", "least.*"), "classes")
-    copies = sets.select("id", "digest").join(classes.select("digest", F.col("id").alias("least")), "digest").where("id > least").select("id")
-    repeated = written(classes.select(F.explode("first").alias("rank")).groupBy("rank").count().where("count > 1").select("rank"), "repeated-shingles")
-    bits = context.broadcast(_bit_map(repeated))
-
-    def in_buckets(batches):
-        for batch in batches:
-            lists = batch.column("first")
-            lengths, rank = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
-            at = np.arange(len(rank)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            use = np.flatnonzero(_in_map(bits.value, rank))
-            owner = np.repeat(np.arange(len(lengths)), lengths)[use]
-            parity = batch.column("parity").flatten().to_numpy().reshape(-1, 4)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(rank[use]), pa.array(at[use]), batch.column("id").take(pa.array(owner)), batch.column("n").take(pa.array(owner)), *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)]], names=["rank", "at", "id", "n", "p0", "p1", "p2", "p3"])
-
-    rows = written(classes.select("id", "n", "parity", "first").mapInArrow(in_buckets, "rank long, at long, id long, n long, p0 long, p1 long, p2 long, p3 long"), "buckets")
-    edges, labels = None, rows.sparkSession.createDataFrame([], "id long, component long")
-    for places, exact in ((3, False), (None, False), (None, True)):
-        now = (rows if places is None else rows.where(F.col("at") < places)).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = written(candidate_pairs(now, similarity, exact), "pairs")
-        similar = written(similar_pairs(pairs, docs, key, text, shingle, similarity), "similar")
-        edges = similar if edges is None else edges.unionByName(similar)
-        if not similar.isEmpty():
-            labels = written(connected_components(edges).select(F.col("node").alias("id"), "component"), "labels")
-    dropped = labels.where("id != component").select("id").unionByName(copies)
-    return docs.join(dropped.select(F.col("id").alias("_dropped")), F.col(key) == F.col("_dropped"), "left_anti")
+            parity = np.array([parities(s) for s in sets], np.int64)
+            prints = np.array([word_fingerprints(t) for t in texts], np.uint64)
+            yield with_columns(part, ["id"], digest=digest, n=pa.array([len(s) for s in sets], pa.int64()), parity=pa.array(list(parity), pa.list_(pa.int64())), prints=pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())))
+
+    sets = written(keyed.mapInArrow(summaries, "id long, digest binary, n long, parity array<long>, prints array<long>"), "summaries")
+    classes = written(sets.groupBy("digest").agg(F.min(F.struct("id", "n", "parity", "prints")).alias("least")).select("digest", "least.*"), "classes")
+    judged = sets.select("id", "digest").join(classes.select("digest", F.col("id").alias("least")), "digest").groupBy("id").agg(F.min(F.col("id") > F.col("least")).alias("copy"))
+    copies = judged.where("copy").select("id")
+    # Each row becomes many: small tables spread over all cores, large ones by their rows.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism * 4, classes.count() // 20_000)
+    classes = classes.repartition(tasks)
+    context = docs.sparkSession.sparkContext
+    bits = _bucket_map(classes)
+    pairs = written(_first_pairs(_entries(classes.select("id", "prints"), bits)), "pairs")
+    edges = written(similar_pairs(pairs, keyed, shingle, similarity), "similar")
+    labels = written(connected_components(edges).withColumnRenamed("node", "id"), "labels")
+    attributes = [F.col("parity")[k].alias(f"p{k}") for k in range(4)] + [F.col("prints")[k].alias(f"f{k}") for k in range(HASHES)]
+    for every in (False, True):
+        now = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        ranked = _entries(now.select("component", "prints"), bits)
+        mixed = written(ranked.groupBy("rank").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("rank"), "mixed")
+        mixed_bits = context.broadcast(_bit_map(mixed))
+        open_ = written(_entries(now.select("id", "component", "n", *attributes, "prints"), mixed_bits), "open-buckets")
+        mixed_bits.destroy()
+        pairs = written(candidate_pairs(open_, similarity, every), "pairs")
+        found = written(similar_pairs(pairs, keyed, shingle, similarity), "similar")
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = written(connected_components(edges).withColumnRenamed("node", "id"), "labels")
+    bits.destroy()
+    dropped = written(labels.where("id != component").select("id").unionByName(copies).distinct(), "dropped")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("id"))
+    return marked.join(dropped, "id", "left_anti").select("row.*")
