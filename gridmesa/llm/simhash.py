@@ -35,7 +35,7 @@ SMALL_BUCKET = 24
 HASHES, NEAR = 8, 3
 #: Pairs for which one copy of a set is sent.
 PAIRS = 256
-#: Rows of a bucket that one task compares with each other or with as many others; larger buckets are dealt out by pairs of blocks.
+#: Rows of a bucket that are resident in one cell; larger buckets are dealt out.
 CELL = 2_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingle hashes whose bits are counted at once.
@@ -153,10 +153,11 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(shingles & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _cell_pairs(component, n, parity, prints, block, similarity: float, every: bool):
-    """Index pairs of a cell's rows, in pieces: rows in different components that are within NEAR bits in one of the hashes and may have the similarity. Unless `every`, of each row and component only the pair that differs in the fewest parities."""
+def _cell_pairs(component, n, parity, prints, resident, similarity: float, every: bool):
+    """Index pairs of a cell's rows, at least one of them resident, in pieces: rows in different components that are within NEAR bits in one of the hashes and may have the similarity. Unless `every`, of each row and component only the pair that differs in the fewest parities."""
     share, size = (1 - similarity) / (1 + similarity), len(n)
     _, index, counts = np.unique(component, return_inverse=True, return_counts=True)
+    resident = resident.astype(bool)
     # Members of the largest component are compared with the others only.
     inside = index == counts.argmax()
     order = np.lexsort([n, inside])
@@ -164,7 +165,7 @@ def _cell_pairs(component, n, parity, prints, block, similarity: float, every: b
         for b in range(a, size, 1024):
             i, j = (x.ravel() for x in np.meshgrid(order[a : a + 512], order[b : b + 1024], indexing="ij"))
             # Sets of the similarity differ in at most this many shingles.
-            use = (i != j) & (index[i] != index[j]) & (abs(n[i] - n[j]) <= (n[i] + n[j]) * share + 1e-9) & ((block[i] != block[j]) | (block[i] < 0))
+            use = (i != j) & (index[i] != index[j]) & (abs(n[i] - n[j]) <= (n[i] + n[j]) * share + 1e-9) & (resident[i] | resident[j])
             i, j = i[use], j[use]
             apart = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
             use = apart <= (n[i] + n[j]) * share + 1e-9
@@ -182,21 +183,25 @@ _ATTRIBUTES = [*[f"p{k}" for k in range(4)], *[f"f{k}" for k in range(HASHES)]]
 
 
 def candidate_pairs(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(a, b): ids of rows (rank, id, component, n, p0.., f0..) that share a rank and may be similar, see _cell_pairs. A rank with over CELL rows is dealt out: its rows get blocks, and every two blocks meet in a cell of their own."""
-    sizes = rows.groupBy("rank").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).where("blocks > 1")
+    """(a, b): ids of rows (a written table: rank, id, component, n, p0.., f0..) that share a rank and may be similar, see _cell_pairs.
+
+    A rank with over CELL rows is dealt out into cells: each row is resident in one of them. Rows of the rank's largest component are
+    in no other, since they need no comparison with each other; the rest visit every cell.
+    """
+    own = rows.groupBy("rank", "component").agg(F.count("*").alias("n")).groupBy("rank")
+    sizes = own.agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"), F.max(F.struct("n", "component"))["component"].alias("largest")).where("cells > 1")
     sized = rows.join(written(sizes, "hot-buckets"), "rank", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    others = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = sized.withColumn("own", F.coalesce(own, F.lit(-1))).withColumn("other", others)
-    # In the cell of a block with itself all rows are compared, which the mark -1 says.
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "block": F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))}).drop("own", "other", "blocks")
+    home = F.coalesce(F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.lit(0))
+    stays = F.col("cells").isNull() | (F.col("component") == F.col("largest"))
+    dealt = sized.withColumn("home", home).withColumn("cell", F.explode(F.when(stays, F.array("home")).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))))
+    dealt = dealt.withColumn("resident", (F.col("home") == F.col("cell")).cast("int")).drop("home", "cells", "largest")
 
     def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = pa.concat_tables([rest, table]) if rest is not None else table
-            cell = np.stack([rest.column(c).to_numpy() for c in ("rank", "i", "j")])
+            cell = np.stack([rest.column(c).to_numpy() for c in ("rank", "cell")])
             change = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
             if len(change):
                 yield from emit(rest.slice(0, change[-1]), np.concatenate([[0], change]))
@@ -205,17 +210,16 @@ def candidate_pairs(rows: DataFrame, similarity: float, every: bool) -> DataFram
             yield from emit(rest, np.array([0, rest.num_rows]))
 
     def emit(table, bounds):
-        ids, component, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+        ids, component, n, resident = (table.column(c).to_numpy() for c in ("id", "component", "n", "resident"))
         parity, prints = (np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64) for names in (_ATTRIBUTES[:4], _ATTRIBUTES[4:]))
         for k in np.flatnonzero(np.diff(bounds) > 1):
             cell = slice(bounds[k], bounds[k + 1])
-            for i, j in _cell_pairs(component[cell], n[cell], parity[cell], prints[cell], block[cell], similarity, every):
+            for i, j in _cell_pairs(component[cell], n[cell], parity[cell], prints[cell], resident[cell], similarity, every):
                 if len(i):
                     a, b = ids[cell][i], ids[cell][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    # The rows of a rank's cells are spread by all three columns.
-    return dealt.repartition("rank", "i", "j").sortWithinPartitions("rank", "i", "j", "id").mapInArrow(run, "a long, b long").where("a != b").distinct()
+    return dealt.repartition("rank", "cell").sortWithinPartitions("rank", "cell", "id").mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
