@@ -18,6 +18,11 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in four tasks a core, for small rows of which much is made: their few files would be as few tasks, and adaptive execution joins small partitions again unless they have a number."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _along_x():
     return Window.partitionBy("map_id", "y").orderBy("x")
 

@@ -146,3 +146,48 @@ def fill_small_holes(labels: np.ndarray, most: int = 40) -> np.ndarray:
         if len(around) == 1:
             out[own] = around[0]
     return out
+
+
+def successors(offsets: np.ndarray) -> np.ndarray:
+    """The index of each point's next one on its closed ring. offsets: of every ring's first point among all points, and the end."""
+    after = np.arange(1, offsets[-1] + 1)
+    some = offsets[1:] > offsets[:-1]
+    after[offsets[1:][some] - 1] = offsets[:-1][some]
+    return after
+
+
+def spans(x: np.ndarray, y: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ring, row, x1, x2): the cells inside rings or on their edges as spans of rows, both ends included, each cell once; whole numbers throughout.
+
+    A cell lies inside if an odd number of edges cross its row right of it. Of a crossing, this depends on the next whole number only.
+    """
+    ring = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    bx, by = x[after := successors(offsets)], y[after]
+    low = np.minimum(y, by)
+    rows = np.maximum(y, by) - low
+    e = np.repeat(np.arange(len(x)), rows)
+    row = low[e] + np.arange(len(e)) - np.repeat(np.cumsum(rows) - rows, rows)
+    rise = by[e] - y[e]
+    along = (bx - x)[e] * (row - y[e]) * np.sign(rise)
+    left, right = x[e] + along // np.abs(rise), x[e] - -along // np.abs(rise)
+    order = np.lexsort((right, row, ring[e]))
+    even, odd = order[::2], order[1::2]
+    on, flat = left == right, y == by
+    parts = [
+        (ring[e][even], row[even], right[even], right[odd] - 1),
+        (ring[e][on], row[on], left[on], left[on]),
+        (ring, y, np.where(flat, np.minimum(x, bx), x), np.where(flat, np.maximum(x, bx), x)),
+    ]
+    ring, row, x1, x2 = (np.concatenate(v) for v in zip(*parts, strict=True))
+    some = np.flatnonzero(x1 <= x2)
+    order = some[np.lexsort((x1[some], row[some], ring[some]))]
+    ring, row, x1, x2 = ring[order], row[order], x1[order], x2[order]
+    other = np.ones(len(order), bool)
+    other[1:] = (ring[1:] != ring[:-1]) | (row[1:] != row[:-1])
+    # The farthest end so far in the row: the row's number outweighs any end.
+    base, width = x2.min(initial=0), int(x2.max(initial=0)) - int(x2.min(initial=0)) + 1
+    reach = np.maximum.accumulate(np.cumsum(other) * width + x2 - base) % width + base
+    starts = other.copy()
+    starts[1:] |= x1[1:] > reach[:-1]
+    ends = np.roll(starts, -1)
+    return ring[starts], row[starts], x1[starts], reach[ends]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmesa.operators.grid import dealt
+
 MAP = "m0"
 SIDE = 64
 
@@ -85,7 +87,7 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(map_id, label, ring): an octagon per part with a radius from its size, about (32, 32)."""
     radius = F.col("p_size") % 23 + 9
     corner = lambda i, dx, dy: F.struct((F.lit(32) + F.floor((radius + (F.col("p_partkey") * (i + 3)) % 5) * dx / 10)).cast("int").alias("x"), (F.lit(32) + F.floor((radius + (F.col("p_partkey") * (i + 3)) % 5) * dy / 10)).cast("int").alias("y"))
-    return read(spark, sf_dir, "part").select(F.lit(MAP).alias("map_id"), F.col("p_partkey").cast("int").alias("label"), F.array(*[corner(i, dx, dy) for i, (dx, dy) in enumerate(CORNERS)]).alias("ring"))
+    return dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.lit(MAP).alias("map_id"), F.col("p_partkey").cast("int").alias("label"), F.array(*[corner(i, dx, dy) for i, (dx, dy) in enumerate(CORNERS)]).alias("ring"))
 
 
 RINGS_SQL = """corners AS (SELECT * FROM (VALUES {rows}) t(i, dx, dy)),
