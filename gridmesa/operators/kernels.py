@@ -58,8 +58,35 @@ def unpacked(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(none, -1, dist >> ID_BITS), np.where(none, -1, dist & ((1 << ID_BITS) - 1))
 
 
+def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, of 0 to n - 1 linked by pairs (u, v). Hooking and pointer jumping."""
+    parent = np.arange(n)
+    while True:
+        a, b = parent[u], parent[v]
+        differ = a != b
+        if not differ.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, eps: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) of points within eps by the approximate distance, each with itself too, for points in the order of x: blocks of about `most` comparisons."""
+    pairs, at = [], 0
+    while at < len(x):
+        first = int(np.searchsorted(x, x[at] - eps))
+        end = min(len(x), at + max(1, most // (int(np.searchsorted(x, x[at] + eps, "right")) - first)))
+        last = int(np.searchsorted(x, x[end - 1] + eps, "right"))
+        dx, dy = np.abs(x[at:end, None] - x[first:last]), np.abs(y[at:end, None] - y[first:last])
+        i, j = np.nonzero(np.maximum(dx, dy) + np.minimum(dx, dy) * 3 // 8 <= eps)
+        pairs.append((i + at, j + first))
+        at = end
+    return tuple(np.concatenate(p) for p in zip(*pairs, strict=True))
+
+
 def components(mask: np.ndarray, eight: bool = True) -> np.ndarray:
-    """Labels 1, 2, ... of the mask's components in the order of their first cell, x first; 0 elsewhere. Hooking and pointer jumping."""
+    """Labels 1, 2, ... of the mask's components in the order of their first cell, x first; 0 elsewhere."""
     w, h = mask.shape
     index = np.arange(w * h).reshape(w, h)
     pairs = []
@@ -68,19 +95,9 @@ def components(mask: np.ndarray, eight: bool = True) -> np.ndarray:
         b = index[dx:, max(0, dy) : h + min(0, dy)]
         both = mask.ravel()[a] & mask.ravel()[b]
         pairs.append((a[both], b[both]))
-    u, v = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    parent = np.arange(w * h)
-    while True:
-        a, b = parent[u], parent[v]
-        differ = a != b
-        if not differ.any():
-            break
-        np.minimum.at(parent, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-    roots = parent[mask.ravel()]
+    parent = roots(w * h, np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
     out = np.zeros(w * h, np.int64)
-    out[mask.ravel()] = np.unique(roots, return_inverse=True)[1] + 1
+    out[mask.ravel()] = np.unique(parent[mask.ravel()], return_inverse=True)[1] + 1
     return out.reshape(w, h)
 
 

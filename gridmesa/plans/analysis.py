@@ -51,7 +51,7 @@ def analyze(cells: DataFrame, buildings: DataFrame, resources: DataFrame, builda
     tiles = landed(grid.stamp_tiles(open_tiles, buildings).withColumnsRenamed({"tx": "x", "ty": "y"}))
     if buildable is None:
         buildable = open_tiles.select("map_id", F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("walkable").alias("buildable"))
-    members = landed(resources.join(bases.clusters(resources), ["map_id", "id"]))
+    members = landed(bases.members(resources))
     usable = landed(bases.usable_clusters(members, regions))
     free = bases.exclusion(grid.placeable(buildable), resources)
     scores = landed(bases.influence(free, members, usable, regions))

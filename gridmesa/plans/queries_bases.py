@@ -28,8 +28,7 @@ best AS (SELECT map_id, cluster, x AS tx, y AS ty, score FROM sums WHERE score >
 
 
 def _members(spark, sf):
-    r = fx.resources(spark, sf)
-    return r.join(bases.clusters(r), ["map_id", "id"])
+    return bases.members(fx.resources(spark, sf))
 
 
 def _tiles(spark, sf):

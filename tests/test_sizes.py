@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from gridmesa.operators import bases
 from gridmesa.operators import kernels as k
 from gridmesa.plans import fixtures as fx
 
@@ -32,3 +34,24 @@ def test_spans_are_the_cells_inside_each_once():
 
 def test_rings_of_one_file_are_dealt_out(spark):
     assert fx.rings(spark, SF).rdd.getNumPartitions() == 16
+
+
+def test_many_resources_at_few_places(spark):
+    # As pairs they would be 160 million.
+    rows = spark.range(20_000).select(F.lit("a").alias("map_id"), F.col("id").cast("int").alias("id"), (F.col("id") % 3 * 20).cast("int").alias("tx"), F.when(F.col("id") < 19_998, 0).otherwise(40).cast("int").alias("ty"))
+    assert sorted(map(tuple, bases.clusters(rows).groupBy("cluster").count().collect())) == [(0, 6666), (1, 6666), (2, 6666)]
+
+
+def test_clusters_by_places_are_those_by_pairs(spark):
+    rng = random.Random(2)
+    rows = [(m, i, rng.randint(0, 40), rng.randint(0, 40)) for m in "ab" for i in range(60)]
+    near = {(p[:2], q[:2]) for p in rows for q in rows if p[0] == q[0] and (d := sorted((abs(p[2] - q[2]), abs(p[3] - q[3]))))[1] + d[0] * 3 // 8 <= 4}
+    core = {p[:2] for p in rows if sum(a == p[:2] for a, _ in near) >= 3}
+    name = {p: p[1] for p in core}
+    for _ in rows:
+        for a, b in near:
+            if a in core and b in core:
+                name[a] = min(name[a], name[b])
+    border = {b: min(name[a] for a, c in near if c == b and a in core) for _, b in near if b not in core and any(c == b and a in core for a, c in near)}
+    got = bases.clusters(spark.createDataFrame(rows, "map_id string, id int, tx int, ty int"), 4).collect()
+    assert {(r.map_id, r.id): r.cluster for r in got} == name | border
