@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmesa.operators.grid import dealt
+from gridmesa.operators.grid import by_map, dealt
 
 MAP = "m0"
 SIDE = 64
@@ -62,8 +62,8 @@ RESOURCES_SQL = """resources AS (SELECT 'm' || p_partkey // 120 AS map_id, CAST(
 
 def on_every_map(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     """The same terrain (map_id ignored) on every map that has resources."""
-    maps = resources(spark, sf_dir).select("map_id").distinct().withColumn("_one", F.lit(1))
-    return cells.drop("map_id").withColumn("_one", F.lit(1)).join(maps, "_one").drop("_one").select("map_id", *[c for c in cells.columns if c != "map_id"])
+    maps = by_map(resources(spark, sf_dir).select("map_id").distinct())
+    return maps.crossJoin(F.broadcast(cells.drop("map_id")))  # 64 x 64 cells at any scale
 
 
 def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
