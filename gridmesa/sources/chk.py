@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmesa.operators.grid import by_map
+
 # Fixed values of the scenario format.
 UNIT_SIZE, DOODAD_SIZE = 36, 10
 MINERALS, GEYSER, START = (176, 177, 178), 188, 214
@@ -98,15 +100,23 @@ def tileset(scanned: DataFrame) -> DataFrame:
 
 
 def terrain(scanned: DataFrame) -> DataFrame:
-    """(map_id, x, y, tile): of repeated MTXM sections, one as large as the map replaces all before it; a smaller one overwrites the first tiles if a full one came before, else it is ignored."""
-    sized = scanned.where(F.col("name") == "MTXM").join(dimensions(scanned), "map_id").withColumn("full", F.octet_length("payload") >= F.col("width") * F.col("height") * 2)
-    first = sized.where("full").groupBy("map_id").agg(F.min("seq").alias("_first"))
-    valid = sized.join(first, "map_id").where("seq >= _first")
-    count = F.least(F.floor(F.octet_length("payload") / 2).cast("int"), F.col("width") * F.col("height"))
-    cells = valid.where(count > 0).select("map_id", "seq", "width", "payload", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    tiles = cells.select("map_id", "seq", "width", "i", unsigned(F.col("payload"), F.col("i") * 2, 2).cast("int").alias("tile"))
-    last = tiles.groupBy("map_id", "i").agg(F.max_by("tile", "seq").alias("tile"), F.first("width").alias("width"))
-    return last.select("map_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), "tile")
+    """(map_id, x, y, tile): of repeated MTXM sections, one as large as the map replaces all before it; a smaller one overwrites the first tiles if a full one came before, else it is ignored.
+
+    A map's sections are laid over one another as bytes, so that its tiles come out once and need no grouping."""
+    is_dim, is_tiles = F.col("name") == "DIM ", F.col("name") == "MTXM"
+    first = F.min_by(F.when(is_dim, F.col("payload")), F.when(is_dim, F.col("seq")))
+    own = by_map(scanned.where(is_dim | is_tiles)).groupBy("map_id").agg(first.alias("_d"), F.array_sort(F.collect_list(F.when(is_tiles, F.struct("seq", "payload")))).alias("_s"))
+    sized = own.select("map_id", "_s", unsigned(F.col("_d"), 0, 2).cast("int").alias("width"), unsigned(F.col("_d"), 2, 2).cast("int").alias("height")).withColumn("n", F.col("width") * F.col("height"))
+
+    def laid(under: Column, section: Column) -> Column:
+        payload = section["payload"]
+        top = F.substring(payload, F.lit(1), F.least(F.floor(F.octet_length(payload) / 2).cast("int"), F.col("n")) * 2)
+        over = F.concat(top, F.substring(under, F.octet_length(top) + 1, F.col("n") * 2))
+        return F.when(F.octet_length(payload) >= F.col("n") * 2, top).when(under.isNotNull(), over)
+
+    whole = sized.where("n > 0").select("map_id", "width", "n", F.aggregate("_s", F.lit(None).cast("binary"), laid).alias("tiles")).where("tiles IS NOT NULL")
+    cells = whole.select("map_id", "width", "tiles", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return cells.select("map_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), unsigned(F.col("tiles"), F.col("i") * 2, 2).cast("int").alias("tile"))
 
 
 def tile_group(tile: Column) -> Column:

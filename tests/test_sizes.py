@@ -1,6 +1,7 @@
 """Work that must not grow faster than its input, or that one small file must not leave to one task."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ from gridmesa.operators import bases
 from gridmesa.operators import kernels as k
 from gridmesa.plans import catalogue
 from gridmesa.plans import fixtures as fx
+from gridmesa.sources import chk
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +75,28 @@ def test_doodads_of_keys_over_16_bits(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     want = con.execute(catalogue.ORACLES["s9_doodads"]).fetchall()
     assert sorted(map(tuple, catalogue.QUERIES["s9_doodads"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def _scanned(spark, maps):
+    rows = [(m, i, name, len(p), bytearray(p)) for m, own in maps.items() for i, (name, p) in enumerate(own)]
+    return spark.createDataFrame(rows, "map_id string, seq int, name string, size int, payload binary")
+
+
+def test_terrain_lays_sections_over_one_another_without_grouping_tiles(spark):
+    tiles = lambda *v: b"".join(t.to_bytes(2, "little") for t in v)
+    dim, none = ("DIM ", tiles(2, 2)), ("DIM ", b"\x02")
+    maps = {
+        "early": [("MTXM", tiles(9, 9)), dim, ("MTXM", tiles(1, 2, 3, 4)), ("MTXM", tiles(5) + b"\x07")],
+        "twice": [dim, ("MTXM", tiles(1, 2, 3, 4)), ("MTXM", tiles(8, 8, 8)), ("MTXM", tiles(5, 6, 7, 65535, 9)), ("MTXM", b""), ("DIM ", tiles(9, 9))],
+        "partial": [dim, ("MTXM", tiles(1, 2, 3))],
+        "short": [none, ("MTXM", tiles(1, 2, 3, 4))],
+        "empty": [("DIM ", tiles(0, 2)), ("MTXM", tiles(1))],
+        "bare": [("MTXM", tiles(1, 2, 3, 4))],
+    }
+    out = chk.terrain(_scanned(spark, maps))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.map_id, {})[r.x, r.y] = r.tile
+    assert got == {"early": {(0, 0): 5, (1, 0): 2, (0, 1): 3, (1, 1): 4}, "twice": {(0, 0): 5, (1, 0): 6, (0, 1): 7, (1, 1): 65535}}
+    # A hash table of every tile of a task was most of its memory.
+    assert not re.search(r"keys=\[map_id#\d+, i#", out._jdf.queryExecution().executedPlan().toString())
