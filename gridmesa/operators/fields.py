@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmesa.operators import kernels as k
-from gridmesa.operators.grid import KEY, dense, fresh
+from gridmesa.operators.grid import KEY, by_map, dense, fresh
 
 CROSSING = 100_000
 
@@ -95,7 +95,7 @@ def area_distance(cells: DataFrame, boxes: DataFrame, walkable: str = "raw", bou
             out.append(pd.DataFrame({"map_id": key[0], "box": r.box, "x": x.astype("int32"), "y": y.astype("int32"), "dist": dist[x, y]}))
         return pd.concat(out) if out else pd.DataFrame(columns=["map_id", "box", "x", "y", "dist"])
 
-    return cells.withColumn("_w", F.col(walkable)).select(*KEY, "_w").groupBy("map_id").cogroup(fresh(boxes).groupBy("map_id")).applyInPandas(run, "map_id string, box int, x int, y int, dist long")
+    return by_map(cells.withColumn("_w", F.col(walkable)).select(*KEY, "_w")).groupBy("map_id").cogroup(fresh(by_map(boxes)).groupBy("map_id")).applyInPandas(run, "map_id string, box int, x int, y int, dist long")
 
 
 def ground_distance(tiles: DataFrame, starts: DataFrame, walkable: str) -> DataFrame:

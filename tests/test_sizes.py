@@ -62,7 +62,7 @@ def test_clusters_by_places_are_those_by_pairs(spark):
     assert {(r.map_id, r.id): r.cluster for r in got} == name | border
 
 
-@pytest.mark.parametrize("name", ["o65_neighbours", "o66_resource_clusters", "o69_usable_clusters", "o68_resource_exclusion", "o71_best_tile", "o70_influence", "o72_merge_near_bases"])
+@pytest.mark.parametrize("name", ["o65_neighbours", "o66_resource_clusters", "o69_usable_clusters", "o68_resource_exclusion", "o71_best_tile", "o70_influence", "o72_merge_near_bases", "o74_attach_resources", "o76_base_measures"])
 def test_what_grows_with_the_maps_is_not_broadcast(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [map_id" not in plan
