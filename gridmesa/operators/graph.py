@@ -21,6 +21,8 @@ from gridmesa.operators.grid import KEY, dense, fresh
 LEAST_REGION, LEAF_SLACK, NODE_DISTANCE, DIFFERENCE = 9.7, 0.9, 7, 0.31
 #: Segments among which a chokepoint finds its sides.
 SEGMENTS = 10
+#: Groups that a map's segments are dealt out to.
+DEALS = 256
 NONE, REGION, CHOKE = "none", "region", "choke"
 
 
@@ -49,26 +51,42 @@ def neighbour_edges(nodes: DataFrame) -> DataFrame:
     return from_.join(nodes.select("map_id", F.col("id").alias("b"), "x", "y"), KEY).where("a < b").select("map_id", "a", "b")
 
 
-def segment_distances(nodes: DataFrame, segments: DataFrame) -> DataFrame:
-    """(map_id, id, segment, d2, px, py): every node with every segment of its map (map_id, segment, ax, ay, bx, by); both are small per map."""
-    both = nodes.select("map_id", "id", "x", "y").join(segments, "map_id")
+def _paired(nodes: DataFrame, segments: DataFrame) -> DataFrame:
+    """Every node with every segment of its map (map_id, segment, ax, ay, bx, by) and d2, the square of their distance; _deal is one of DEALS groups of segments, by which a map of many is dealt out, to each with all its nodes."""
+    tasks = 8 * nodes.sparkSession.sparkContext.defaultParallelism
     dx, dy = (F.col("bx") - F.col("ax")).cast("double"), (F.col("by") - F.col("ay")).cast("double")
     size = dx * dx + dy * dy
-    t = F.when(size == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.when(size == 0, 1.0).otherwise(size))))
-    qx, qy = F.col("ax") + t * dx - F.col("x"), F.col("ay") + t * dy - F.col("y")
-    p = project(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
-    return both.select("map_id", "id", "x", "y", "segment", F.round(qx * qx + qy * qy, 6).alias("d2"), p["x"].alias("px"), p["y"].alias("py"))
+    # What depends on the segment alone is made before the join: in a condition on the pairs it would stand many times over, in code too long to be compiled.
+    sized = segments.withColumns({"_dx": dx, "_dy": dy, "_size": F.when(size == 0, 1.0).otherwise(size), "_deal": F.pmod(F.hash("segment"), F.lit(DEALS)).cast("int")})
+    own = nodes.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).repartition(tasks, "_deal")
+    both = sized.repartition(tasks, "_deal").join(own.hint("merge"), ["map_id", "_deal"])
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * F.col("_dx") + (F.col("y") - F.col("ay")) * F.col("_dy")) / F.col("_size")))
+    qx, qy = F.col("ax") + t * F.col("_dx") - F.col("x"), F.col("ay") + t * F.col("_dy") - F.col("y")
+    return both.withColumn("d2", qx * qx + qy * qy)
 
 
 def clearances(nodes: DataFrame, segments: DataFrame) -> DataFrame:
-    """(map_id, id, clearance): distance to the nearest segment."""
-    return segment_distances(nodes, segments).groupBy("map_id", "id").agg(F.round(F.sqrt(F.min("d2")), 6).alias("clearance"))
+    """(map_id, id, clearance): distance to the nearest segment. Rounded as the least: of every pair it took most of the time."""
+    return _paired(nodes.select("map_id", "id", "x", "y"), segments).groupBy("map_id", "id").agg(F.round(F.sqrt(F.round(F.min("d2"), 6)), 6).alias("clearance"))
+
+
+def _near_segments(nodes: DataFrame, segments: DataFrame) -> DataFrame:
+    """(map_id, id, x, y, segment, d2, px, py): pairs of which every node has its SEGMENTS nearest, and few others.
+
+    The nearest of each group of segments being different ones, the SEGMENTS-th of them is no nearer than the SEGMENTS-th of all; nodes with fewer such keep all."""
+    own = nodes.select("map_id", "id", "x", "y")
+    least = _paired(own, segments).groupBy("map_id", "id", "_deal").agg(F.min("d2").alias("d2"))
+    most = least.groupBy("map_id", "id").agg(F.get(F.sort_array(F.collect_list("d2")), F.lit(SEGMENTS - 1)).alias("most"))
+    # Rounding to 6 places may bring ties from below.
+    near = _paired(own.join(most, ["map_id", "id"], "left"), segments).where("most IS NULL OR d2 <= most * (1 + 1e-12) + 1e-6")
+    p = project(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
+    return near.select("map_id", "id", "x", "y", "segment", F.round("d2", 6).alias("d2"), p["x"].alias("px"), p["y"].alias("py"))
 
 
 def choke_sides(nodes: DataFrame, segments: DataFrame) -> DataFrame:
     """(map_id, id, s1x, s1y, s2x, s2y): the projection on the nearest segment; then, among the SEGMENTS nearest, the first by distance on the opposite side in both axes, else the last."""
     by = Window.partitionBy("map_id", "id").orderBy("d2", "segment")
-    near = segment_distances(nodes, segments).withColumn("k", F.row_number().over(by)).where(F.col("k") <= SEGMENTS)
+    near = _near_segments(nodes, segments).withColumn("k", F.row_number().over(by)).where(F.col("k") <= SEGMENTS)
     ranked = near.withColumns({"s1x": F.first("px").over(by), "s1y": F.first("py").over(by)})
     opposite = (F.col("k") > 1) & ((F.col("px") - F.col("x")) * (F.col("s1x") - F.col("x")) <= 0) & ((F.col("py") - F.col("y")) * (F.col("s1y") - F.col("y")) <= 0)
     second = F.coalesce(F.min(F.when(opposite, F.struct("k", "px", "py"))), F.max(F.struct("k", "px", "py")))

@@ -100,3 +100,8 @@ def test_terrain_lays_sections_over_one_another_without_grouping_tiles(spark):
     assert got == {"early": {(0, 0): 5, (1, 0): 2, (0, 1): 3, (1, 1): 4}, "twice": {(0, 0): 5, (1, 0): 6, (0, 1): 7, (1, 1): 65535}}
     # A hash table of every tile of a task was most of its memory.
     assert not re.search(r"keys=\[map_id#\d+, i#", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pairs_of_one_map_are_dealt_out_and_ranked_only_if_near(spark):
+    plan = catalogue.QUERIES["o40_choke_sides"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_deal#\d+, 32\), REPARTITION_BY_NUM", plan) and "isnull(most" in plan
