@@ -107,6 +107,6 @@ def test_pairs_of_one_map_are_dealt_out_and_ranked_only_if_near(spark):
     assert re.search(r"hashpartitioning\(_deal#\d+, 32\), REPARTITION_BY_NUM", plan) and "isnull(most" in plan
 
 
-@pytest.mark.parametrize("name", ["o18_simplify"])
+@pytest.mark.parametrize("name", ["o18_simplify", "o20_simple_check"])
 def test_rings_reach_their_kernel_dealt_out(spark, name):
     assert "RoundRobinPartitioning(16)" in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
